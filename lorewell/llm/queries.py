@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, packing, topk
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1,
+    "op2_source_mixing": mixing.op2,
+    "op8_exact_topk": topk.op8,
     "op9_exact_dedup": exact_dedup.op9,
 }
 SQL = {
+    "op8_exact_topk": topk.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
