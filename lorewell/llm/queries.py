@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, topk
+from . import exact_dedup, mixing, packing, personal, secrets, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op2_source_mixing": mixing.op2,
     "op8_exact_topk": topk.op8,
     "op9_exact_dedup": exact_dedup.op9,
+    "op3_secret_scan": secrets.op3,
+    "op7_personal_data": personal.op7,
 }
 SQL = {
     "op8_exact_topk": topk.OP8_SQL,
