@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, personal, secrets, topk
+from . import exact_dedup, licences, mixing, packing, personal, secrets, topk, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -10,9 +10,12 @@ QUERIES = {
     "op8_exact_topk": topk.op8,
     "op9_exact_dedup": exact_dedup.op9,
     "op3_secret_scan": secrets.op3,
+    "op5_licence_scan": licences.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_personal_data": personal.op7,
 }
 SQL = {
+    "op5_licence_scan": licences.OP5_SQL,
     "op8_exact_topk": topk.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
