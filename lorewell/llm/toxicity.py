@@ -60,7 +60,7 @@ class Model:
         return tuple(float(1 / (1 + np.exp(-np.clip(z - t, -500, 500)))) for t in self.thresholds)
 
 
-def fitted(rows: list[tuple[int, float, list[int], list[int]]], names: list[str], steps: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> Model:
+def fitted(rows: list[tuple[int, float, list[int], list[int]]], names: list[str], steps: int = 600, rate: float = 0.1, ridge: float = 5e-5) -> Model:
     """Weights and thresholds from rows of (grade, sample weight, feature numbers, counts), by Adam on the whole sample."""
     y, sw = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     sw = sw / sw.sum()
@@ -91,12 +91,13 @@ def fitted(rows: list[tuple[int, float, list[int], list[int]]], names: list[str]
     return Model({f: float(v) for f, v in zip(names, x[:n]) if v}, [float(c) for c in cut])
 
 
-def trained(docs: DataFrame, labels: DataFrame, most_labels: int = 8000, most_features: int = 2000, least_docs: int = 5) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, most_labels: int = 8000, most_features: int = 400, least_docs: int = 4) -> Model:
     """A model from at most most_labels labelled documents, half of them toxic if there are as many.
 
     They are those of lowest hash of the id, so the sample is the same at each
-    run. Features are the most_features with the highest log-odds ratio
-    statistic among those in least_docs sample documents. labels: doc_id,
+    run; of equal texts one is used. Features are the most_features that tell
+    most by the likelihood-ratio statistic, among those in least_docs sample
+    documents. labels: doc_id,
     toxic; null ids or labels don't count, and of labels that contradict each
     other toxic wins. Without both kinds of labels the model rejects nothing.
     """
@@ -108,7 +109,7 @@ def trained(docs: DataFrame, labels: DataFrame, most_labels: int = 8000, most_fe
     half = most_labels // 2
     picked = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for c in ("toxic > 0", "toxic = 0")]
     ids = written(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("l_id"), (F.col("toxic") > 0).cast("int").alias("toxic")), f"{top}/labels")  # at most most_labels rows
-    sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("doc_id", "toxic", "text")
+    sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("doc_id", "toxic", "text").dropDuplicates(["text"])
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -122,13 +123,13 @@ def trained(docs: DataFrame, labels: DataFrame, most_labels: int = 8000, most_fe
     if set(sizes) != {0, 1}:
         return Model({}, [])
     df = bags.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.count("*").alias("b")).where(F.col("b") >= least_docs)
-    pa_, pb_ = (F.col("a") + 0.5) / (sizes[1] + 1), (F.col("b") - F.col("a") + 0.5) / (sizes[0] + 1)
-    odds = F.log(pa_ / (1 - pa_)) - F.log(pb_ / (1 - pb_))
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") - F.col("a") + 0.5))
-    best = df.select("f", (odds / error).alias("z")).orderBy(F.desc(F.abs("z")), "f").limit(most_features).collect()
+    b_, rate_t = F.col("b") - F.col("a"), sizes[1] / (sizes[0] + sizes[1])
+    part = lambda n, share: F.when(n > 0, n * F.log(n / (F.col("b") * share))).otherwise(0.0)
+    gain = 2 * (part(F.col("a"), rate_t) + part(b_, 1 - rate_t))
+    best = df.select("f", F.when(F.col("a") > rate_t * F.col("b"), gain).otherwise(-gain).alias("z")).orderBy(F.desc(F.abs("z")), "f").limit(most_features).collect()
     names = [r.f for r in best]
     at = {f: i for i, f in enumerate(names)}
-    telling = {i for i, r in enumerate(best) if r.z > 3}
+    telling = {i for i, r in enumerate(best) if r.z > best[0].z / 10}
     lookup = docs.sparkSession.createDataFrame([(f, i) for f, i in at.items()], "f string, i int")  # at most most_features rows
     e = bags.select("doc_id", F.explode(F.arrays_zip("f", "n")).alias("e")).select("doc_id", F.col("e.f").alias("f"), F.col("e.n").alias("n"))
     e = e.join(F.broadcast(lookup), "f").groupBy("doc_id").agg(F.collect_list(F.struct("i", "n")).alias("e"))
