@@ -86,7 +86,10 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         n = max(n, 1 << 20)
-        _POWERS[:] = [np.cumprod(np.concatenate(([1], np.full(n - 1, b, np.uint64))).astype(np.uint64), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k:] = [np.cumprod(steps, dtype=np.uint64)]
     return _POWERS[0], _POWERS[1]
 
 

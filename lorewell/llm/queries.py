@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licences, mixing, packing, personal, secrets, topk, toxicity
+from . import exact_dedup, kneser_ney, licences, mixing, packing, personal, secrets, topk, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op8_exact_topk": topk.op8,
     "op9_exact_dedup": exact_dedup.op9,
     "op3_secret_scan": secrets.op3,
+    "op4_lm_scoring": kneser_ney.op4,
     "op5_licence_scan": licences.op5,
     "op6_toxicity": toxicity.op6,
     "op7_personal_data": personal.op7,
