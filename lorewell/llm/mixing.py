@@ -84,14 +84,14 @@ def landing(p: np.ndarray, size: np.ndarray, free: np.ndarray, flips: int = 16)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """Per source of (source, size): source_size, target; sources by code point, null last, get the weights in turn.
+    """Per source of (source, size): rank, n (documents), source_size, target; sources by code point, null last, get the weights in turn.
 
     Targets share the total by weight; none exceeds ``most`` times its
     source's size, and the excess goes to the others by weight. The level at
     which the rest stops is found from running sums over the sources in the
     order in which they reach their limits.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     s = s.withColumn("rank", F.row_number().over(order) - 1)  # one row per source
     s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int")))
@@ -102,28 +102,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     share = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by), F.lit(0.0))
     # The level if all sources before this one have stopped and no other has; it rises while that is too few and falls after.
     s = s.withColumn("level", F.max(rest / share).over(everything))
-    return s.select("source", "rank", "source_size", F.least(F.col("level") * F.col("weight"), "cap").alias("target"))
+    return s.select("source", "rank", "n", "source_size", F.least(F.col("level") * F.col("weight"), "cap").alias("target"))
 
 
-def _level(seed: int, level: int, blocks: int, last: bool):
-    """The flight of one block of one source, and on the last level its landing."""
+def _level(seed: int, level: int, block: int):
+    """The flight of one block of one source, and the landing if it is the source's only one."""
 
     def run(key, table):
         import pyarrow as pa
 
         t = table.to_pandas().sort_values(["order", "doc_id", "size"], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, level, int(key[0].as_py()), int(key[1].as_py())])
-        size = t["size"].to_numpy(float)
-        old = t["p"].to_numpy(float)
+        size, old, blocks = t["size"].to_numpy(float), t["p"].to_numpy(float), int(t["blocks"][0])
         p = flight(old, size, rng)
-        t["p"] = landing(p, size, (old > EPS) & (old < 1 - EPS)) if last else p
-        t["block"] = t["block"] % blocks
+        t["p"] = landing(p, size, (old > EPS) & (old < 1 - EPS)) if blocks == 1 else p
+        t["blocks"] = max(1, -(-blocks * 2 // block))
+        t["block"] = t["block"] % t["blocks"]
         return pa.Table.from_pandas(t, preserve_index=False)
 
     return run
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = 4096, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = 1024, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many times each document is taken: doc_id, size, source_size, target, taken, times.
 
     size counts the words of the text (null: 0); a null source is a source of
@@ -137,27 +137,22 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int =
     base = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"), source=(source_col, "string"))
     base = written(base.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), f"{top}/sizes")
     targets = written(source_targets(base, weights), f"{top}/targets")
-    rows = base.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    joined = base.join(targets, base["source"].eqNullSafe(targets["source"])).select("doc_id", "size", "source_size", "target", "rank")
+    joined = base.join(targets, base["source"].eqNullSafe(targets["source"])).select("doc_id", "size", "source_size", "target", "rank", "n")
     joined = joined.withColumn("m", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     joined = joined.withColumn("whole", F.floor("m").cast("int")).withColumn("p", F.col("m") - F.col("whole"))
-    joined = joined.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed)))
-    blocks = -(-rows // block)
-    state = joined.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(max(1, blocks))))
+    joined = joined.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("blocks", F.ceil(F.col("n") / block))
+    state = joined.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("blocks")))
+    blocks = -(-(targets.agg(F.max("n")).first()[0] or 0) // block)  # of the source that has most
     level, decided = 0, []
-    schema = "doc_id long, size long, source_size long, target double, rank int, whole int, p double, order long, block long"
+    schema = "doc_id long, size long, source_size long, target double, rank int, whole int, p double, order long, blocks long, block long"
     while True:
-        last = blocks <= 1
-        nxt = max(1, -(-blocks * 2 // block))
-
-        cols = ["doc_id", "size", "source_size", "target", "rank", "whole", "p", "order", "block"]
-        state = written(state.select(*cols).groupBy("rank", "block").applyInArrow(_level(seed, level, nxt, last), schema), f"{top}/level{level}")
-        if last:
-            decided.append(state)
-            break
+        state = state.select(*(c.split()[0] for c in schema.split(", ")))
+        state = written(state.groupBy("rank", "block").applyInArrow(_level(seed, level, block), schema), f"{top}/level{level}")
         decided.append(state.where("p = 0 or p = 1"))
+        if blocks <= 1:
+            break
         state = state.where("p > 0 and p < 1")
-        level, blocks = level + 1, nxt
+        level, blocks = level + 1, max(1, -(-blocks * 2 // block))
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
