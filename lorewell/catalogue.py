@@ -2,5 +2,643 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import chunk, distill, graph, lifecycle, pack, search, trace
+from .plans import fixtures as X
+from .streaming import queue
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+#: The question that the search queries ask.
+QUESTION = "Which Apache License covers the re-tion of thening, and is a stupid clown there?"
+#: A moment for everything that depends on age.
+AS_OF = "2024-06-01 00:00:00"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _any(text: str, words, whole: bool = False) -> str:
+    parts = [f"regexp_matches({text}, '\\b{w}\\b')" if whole and w in T.WHOLE_WORDS else f"contains({text}, '{w}')" for w in words]
+    return "(" + " OR ".join(parts) + ")"
+
+
+# Documents and text ------------------------------------------------------
+
+DOCS = "SELECT doc_id AS id, text AS content, lang AS project, source AS source_path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version FROM documents"
+WIDE_SQL = "[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{20000}-\\x{2a6df}\\x{3000}-\\x{303f}\\x{ff00}-\\x{ffef}\\x{3041}-\\x{309f}\\x{30a0}-\\x{30ff}\\x{ac00}-\\x{d7af}]"
+
+
+def tokens_sql(text: str) -> str:
+    rest = f"length(regexp_replace({text}, '{WIDE_SQL}', '', 'g'))"
+    return f"(length({text}) - {rest} + CAST(ceil({rest} / 4.0) AS BIGINT))"
+
+
+@query(f"SELECT id, source_path, version FROM ({DOCS})")
+def doc_version_numbering(spark, d):
+    return X.versioned(X.documents(spark, d)).select("id", "source_path", F.col("version").cast("long").alias("version"))
+
+
+@query(f"SELECT project, arg_max(id, version) AS id, max(version) AS version, source_path FROM ({DOCS}) GROUP BY project, source_path")
+def latest_version_dedup(spark, d):
+    docs = X.versioned(X.documents(spark, d)).withColumn("section", F.col("project")).withColumn("rank", F.col("id"))
+    best = search.latest_versions(docs)
+    return best.select("project", "id", F.col("version").cast("long").alias("version"), "source_path")
+
+
+@query(f"SELECT lang AS project, count(*) AS n_docs, CAST(sum({tokens_sql('text')}) AS BIGINT) AS est_tokens FROM documents GROUP BY lang")
+def est_tokens_by_lang(spark, d):
+    return X.documents(spark, d).groupBy("project").agg(F.count("*").alias("n_docs"), F.sum(T.est_tokens(F.col("content"))).alias("est_tokens"))
+
+
+@query("SELECT p_partkey AS id, lower(regexp_replace(trim('  ' || upper(p_name) || '   ' || p_brand || ' '), '\\s+', ' ', 'g')) AS name FROM part")
+def normalize_name(spark, d):
+    p = X.table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), T.normalize_name(F.concat(F.lit("  "), F.upper("p_name"), F.lit("   "), F.col("p_brand"), F.lit(" "))).alias("name"))
+
+
+_SYNONYM = "CASE " + " ".join(f"WHEN p = '{a}' THEN '{b}'" for a, b in T.PREDICATES.items()) + " ELSE p END"
+_RAW = ("Developed", " uses ", "is  based on", "Belongs to", "supplies", "LED", "manages", "work at", "开发", "属于")
+
+
+@query(f"SELECT id, {_SYNONYM} AS predicate FROM (SELECT o_orderkey AS id, lower(regexp_replace(trim(list_value({_quoted(_RAW)})[o_orderkey % {len(_RAW)} + 1]), '\\s+', ' ', 'g')) AS p FROM orders)")
+def normalize_predicate(spark, d):
+    raw = F.element_at(F.array(*map(F.lit, _RAW)), (F.col("o_orderkey") % len(_RAW) + 1).cast("int"))
+    return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.normalize_predicate(raw, T.PREDICATES).alias("predicate"))
+
+
+def _redact_sql() -> str:
+    text = "text"
+    put = lambda pattern, keep: f"regexp_replace({text}, '{pattern}', '{chr(92) + '1' if keep else ''}{T.MARK}', 'g')"
+    for pattern, keep in T.SECRETS:
+        if r"\2" in pattern:  # the SQL's engine has no back-references: one pattern for each quote, the bare one last
+            head = pattern[: pattern.index("(['")]
+            for q in ('"', "''", ""):
+                text = put(head + q + "[^\\s''\"]{8,}" + q, keep)
+        else:
+            text = put(pattern, keep)
+    return f"SELECT doc_id AS id, sha256({text}) AS redacted_sha256, contains({text}, '{T.MARK}') AS changed FROM documents"
+
+
+@query(_redact_sql())
+def redact_documents(spark, d):
+    r = X.documents(spark, d).withColumn("r", T.redact(F.col("content")))
+    return r.select("id", F.sha2("r", 256).alias("redacted_sha256"), F.contains("r", F.lit(T.MARK)).alias("changed"))
+
+
+@query()
+def byte_capped_preview(spark, d):
+    value, cut = T.byte_cap(F.col("content"), 1000)
+    return X.documents(spark, d).select("id", value.alias("preview"), cut.alias("truncated"), F.octet_length(value).alias("n_bytes"))
+
+
+@query("SELECT doc_id AS id, left(trim(regexp_extract(text, '^\\s*([^\\n\\r]*)', 1)), 200) AS first_line, regexp_matches(text, '[^\\x{0}-\\x{2FF}]') AS non_latin FROM documents")
+def first_lines(spark, d):
+    c = F.col("content")
+    return X.documents(spark, d).select("id", T.first_line(c).alias("first_line"), T.non_latin(c).alias("non_latin"))
+
+
+# Search ------------------------------------------------------------------
+
+
+def bm25_sql(corpus: str, text: str = "content", question: str = QUESTION) -> str:
+    """A CTE ``scored`` over the corpus's rows that match."""
+    phrases = search.phrases(question)
+    distinct = list(dict.fromkeys(map(tuple, phrases)))
+
+    def frequency(p: tuple[str, ...]) -> str:
+        if len(p) == 1:
+            return f"len(list_filter(w, lambda x: x = '{p[0]}'))"
+        return f"len(list_filter(range(1, len(w) + 1), lambda k: list_slice(w, k, k + {len(p) - 1}) = [{_quoted(p)}]))"
+
+    cols = ", ".join(f"{frequency(p)} AS f{i}" for i, p in enumerate(distinct))
+    counts = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(distinct)))
+    score = " + ".join(
+        f"{sum(tuple(q) == p for q in phrases)} * CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) > 0 THEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END * f{i} * {search.K1 + 1} / (f{i} + {search.K1} * ({1 - search.B} + {search.B} * len(w) / a))"
+        for i, p in enumerate(distinct)
+    )
+    return f"""corpus AS ({corpus}), words AS (
+  SELECT *, regexp_extract_all(strip_accents(lower(coalesce({text}, ''))), '[\\p{{L}}\\p{{N}}]+') AS w FROM corpus
+), freq AS (SELECT *, {cols} FROM words), stats AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a, {counts} FROM freq),
+scored AS (SELECT *, {score} AS score FROM freq, stats WHERE {' + '.join(f'f{i}' for i in range(len(distinct)))} > 0)"""
+
+
+@query(f"WITH {bm25_sql(DOCS)} SELECT id, round(score, 6) AS score FROM scored")
+def bm25_scores(spark, d):
+    """Every document that matches, with its score."""
+    return search.bm25(X.documents(spark, d), search.phrases(QUESTION)).select("id", F.round("score", 6).alias("score"))
+
+
+def _ranked(spark, d, k=160):
+    s = search.bm25(X.versioned(X.documents(spark, d)), search.phrases(QUESTION)).withColumn("score", F.round("score", 6))
+    return search.top(s, k, F.desc("score"), F.col("id"))
+
+
+_TOP = f"{bm25_sql(DOCS)}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, content, project, source_path, version, round(score, 6) AS score FROM scored) QUALIFY rank <= 160)"
+
+
+@query(f"WITH {_TOP} SELECT id, rank, score FROM ranked")
+def bm25_topk(spark, d):
+    return _ranked(spark, d).select("id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"WITH {bm25_sql(DOCS)} SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM scored WHERE project = 'en' QUALIFY rank <= 160")
+def bm25_project_filter(spark, d):
+    """Statistics over all documents, results of one project."""
+    s = search.bm25(X.documents(spark, d), search.phrases(QUESTION)).where("project = 'en'").withColumn("score", F.round("score", 6))
+    return search.top(s, 160, F.desc("score"), F.col("id")).select("id", F.col("rank").cast("long").alias("rank"))
+
+
+def _anchors() -> list[str]:
+    import re
+
+    out: dict[str, None] = {}
+    for w in re.findall(r"[A-Za-z0-9_#.+/-]+", QUESTION.lower()):
+        w = w.strip("._/-")
+        if len(w) >= 3 and w not in T.STOP_WORDS:
+            out[w] = None
+    return list(out)[:24]
+
+
+_ANCHOR = " + ".join(f"CASE WHEN contains(lower(content), '{a}') THEN {len(a)} ELSE 0 END" for a in _anchors())
+
+
+@query(f"WITH {_TOP} SELECT id, ({_ANCHOR})::BIGINT AS anchor, row_number() OVER (ORDER BY {_ANCHOR} DESC, rank) AS place FROM ranked")
+def bm25_anchor_rerank(spark, d):
+    r = search.lexical_rerank(_ranked(spark, d), QUESTION)
+    return r.select("id", F.col("anchor").cast("long").alias("anchor"), F.row_number().over(Window.orderBy(F.desc("anchor"), "rank")).cast("long").alias("place"))
+
+
+_LATEST = "latest AS (SELECT * EXCLUDE (r), min(rank) OVER (PARTITION BY source_path) AS first_rank FROM (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY version DESC, rank) AS r FROM ranked))"
+
+
+@query(f"WITH {_TOP}, rr AS (SELECT id, source_path, row_number() OVER (PARTITION BY source_path ORDER BY rank) AS n, min(rank) OVER (PARTITION BY source_path) AS f FROM ranked) SELECT id, source_path, row_number() OVER (ORDER BY n, f) AS place FROM rr QUALIFY place <= 30")
+def round_robin_sources(spark, d):
+    return search.round_robin(_ranked(spark, d), 30).select("id", "source_path", F.col("place").cast("long").alias("place"))
+
+
+def _greedy_sql(items: str, budget: int, name: str = "fold") -> str:
+    """A recursive CTE over ``items`` (rank from 1, cost): admitted by skip-and-continue."""
+    return f"""{name} AS (
+  SELECT 0::BIGINT AS rank, {budget}::BIGINT AS room, false AS admitted
+  UNION ALL SELECT i.rank, CASE WHEN i.cost <= f.room THEN f.room - i.cost ELSE f.room END, i.cost <= f.room FROM {name} f JOIN {items} i ON i.rank = f.rank + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_TOP}, rr AS (SELECT id, content, project, source_path, version, row_number() OVER (PARTITION BY source_path ORDER BY rank) AS n, min(rank) OVER (PARTITION BY source_path) AS f FROM ranked),
+items AS (SELECT id, source_path, row_number() OVER (ORDER BY n, f) AS rank, {tokens_sql("('[' || project || ' ' || source_path || ']')")} + {tokens_sql('content')} AS cost FROM rr QUALIFY rank <= 60), {_greedy_sql('items', 8000)}
+SELECT i.id, i.rank, i.cost, f.admitted FROM items i JOIN fold f USING (rank)""")
+def bm25_pack(spark, d):
+    """One question from search to packed passages: BM25, a round over the sources, a token budget."""
+    r = search.round_robin(_ranked(spark, d), 60)
+    tag = F.concat(F.lit("["), T.provenance_tag(F.col("project"), F.col("source_path"), F.lit(None).cast("string"), F.lit(None).cast("string")), F.lit("]"))
+    rows = r.select("id", F.col("place").cast("long").alias("rank"), (T.est_tokens(tag) + T.est_tokens(F.col("content"))).alias("cost"), F.lit(1).alias("question"))
+    return pack.packed(rows, 8000, ["question"]).select("id", "rank", "cost", "admitted")
+
+
+@query(f"WITH {_TOP}, c AS (SELECT id, rank, {tokens_sql('content')} AS cost FROM ranked) SELECT id, cost, sum(cost) OVER (ORDER BY rank) <= 20000 AS admitted FROM c")
+def budget_prefix_pack(spark, d):
+    r = _ranked(spark, d).select("id", "rank", T.est_tokens(F.col("content")).alias("cost"), F.lit(1).alias("question"))
+    return pack.prefix_packed(r, 20000, ["question"], F.col("rank")).select("id", "cost", "admitted")
+
+
+@query("SELECT term, count(*) AS n_docs, CAST(sum(f) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS term, 1 AS f FROM documents) GROUP BY term, doc_id".replace("SELECT term, count(*) AS n_docs, CAST(sum(f) AS BIGINT) AS n", "SELECT doc_id, term, CAST(sum(f) AS BIGINT) AS n").join(("SELECT term, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n FROM (", ") GROUP BY term")))
+def word_index_terms(spark, d):
+    """Per term of the word index: documents and occurrences."""
+    p = search.postings(X.documents(spark, d))
+    return p.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("frequency").alias("n"))
+
+
+@query()
+def lexical_excerpts(spark, d):
+    return chunk.excerpts(X.documents(spark, d), _anchors())
+
+
+@query()
+def chunk_paragraph_pack(spark, d):
+    return chunk.chunked(X.documents(spark, d).withColumn("content", F.regexp_replace("content", r"\n", "\n\n")), 200)
+
+
+# Graph -------------------------------------------------------------------
+
+_SEED = "r0"
+_BFS = f"""e AS ({X.EDGES_SQL}), both_ AS (SELECT source AS a, target AS b FROM e UNION ALL SELECT target, source FROM e),
+walk AS (SELECT '{_SEED}' AS id, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN both_ ON a = id WHERE depth < 3), depths AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
+
+
+def _seeds(spark):
+    return spark.createDataFrame([(_SEED,)], "id string")
+
+
+@query(f"SELECT source, predicate, target FROM ({X.EDGES_SQL}) WHERE source IN ('n1', 's1') OR target IN ('n1', 's1')")
+def kg_neighbors(spark, d):
+    return graph.neighbours(X.edges(spark, d), spark.createDataFrame([("n1",), ("s1",)], "id string"))
+
+
+@query(f"WITH RECURSIVE {_BFS} SELECT id, depth FROM depths")
+def kg_bfs_depths(spark, d):
+    return graph.traverse(X.edges(spark, d), _seeds(spark), 3)
+
+
+@query(f"WITH RECURSIVE {_BFS} SELECT source, predicate, target, least(a.depth, b.depth) AS hops FROM e LEFT JOIN depths a ON a.id = source LEFT JOIN depths b ON b.id = target WHERE least(a.depth, b.depth) < 2")
+def kg_two_hop_triples(spark, d):
+    e = X.edges(spark, d)
+    return graph.triples_within(e, graph.traverse(e, _seeds(spark), 3), 2)
+
+
+@query(f"SELECT canonical_name || ': ' || string_agg(predicate || ' ' || target, ' | ' ORDER BY pos) AS line, min(pos) AS pos FROM (SELECT n.canonical_name, predicate, target, row_number() OVER (ORDER BY source, predicate, target) AS pos FROM ({X.EDGES_SQL}) e JOIN ({X.NODES_SQL}) n ON n.id = e.source) GROUP BY canonical_name")
+def kg_subject_grouped(spark, d):
+    e, n = X.edges(spark, d), X.nodes(spark, d)
+    e = graph_numbered(e)
+    rows = e.join(n.select(F.col("id").alias("source"), F.col("canonical_name").alias("subject")), "source").select(F.col("id").alias("pos"), "subject", "predicate", F.col("target").alias("object"), F.lit(1).alias("question"))
+    return pack.subject_lines(rows, ["question"]).select("line", "pos")
+
+
+def graph_numbered(e: DataFrame) -> DataFrame:
+    from .tables import numbered
+
+    return numbered(e, F.col("source"), F.col("predicate"), F.col("target"))
+
+
+_REL = f"SELECT *, row_number() OVER (ORDER BY source, predicate, target) AS id FROM ({X.EDGES_SQL})"
+_EVID = f"rel AS ({_REL}), nd AS (SELECT count(*) AS n FROM documents), ev AS (SELECT rel.id AS relation_id, (rel.id % n)::BIGINT AS doc_id FROM rel, nd)"
+
+
+def _evidence(spark, d):
+    rel = graph_numbered(X.edges(spark, d))
+    return rel, rel.select(F.col("id").alias("relation_id"), (F.col("id") % X.documents(spark, d).count()).alias("doc_id"))
+
+
+@query(f"WITH {_EVID} SELECT relation_id, doc_id, lang AS project, source AS source_path, coalesce(nullif(concat_ws(' ', nullif(lang, ''), nullif(source, '')), ''), 'unknown') AS tag FROM ev JOIN documents USING (doc_id)")
+def kg_evidence_docs(spark, d):
+    _, ev = _evidence(spark, d)
+    docs = X.documents(spark, d).select(F.col("id").alias("doc_id"), "project", "source_path")
+    none = F.lit(None).cast("string")
+    return ev.join(docs, "doc_id").withColumn("tag", T.provenance_tag(F.col("project"), F.col("source_path"), none, none)).select("relation_id", "doc_id", "project", "source_path", "tag")
+
+
+@query(f"WITH {bm25_sql(DOCS)}, {_EVID}, s AS (SELECT rel.id AS relation_id, source, max(coalesce(score, 0)) AS b FROM rel JOIN ev ON ev.relation_id = rel.id LEFT JOIN scored ON scored.id = ev.doc_id GROUP BY ALL), m AS (SELECT relation_id, CASE WHEN max(b) OVER () > min(b) OVER () THEN (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) ELSE 0 END AS bm25, CASE WHEN source LIKE 'n%' THEN 0 WHEN source LIKE 'c%' THEN 1 ELSE 2 END AS hops FROM s) SELECT relation_id, round(bm25, 6) AS bm25, round(pow(0.7, hops) * (0.6 * 0.5 + 0.4 * bm25), 6) AS score FROM m")
+def composite_score(spark, d):
+    """BM25 of each relation's evidence scaled over all relations, then the composite score at a neutral similarity."""
+    rel, ev = _evidence(spark, d)
+    s = search.bm25(X.documents(spark, d), search.phrases(QUESTION)).select(F.col("id").alias("doc_id"), "score")
+    best = ev.join(s, "doc_id", "left").groupBy("relation_id").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("b"))
+    ends = best.agg(F.min("b").alias("lo"), F.max("b").alias("hi"))  # one row
+    scaled = best.join(F.broadcast(ends)).withColumn("bm25", F.when(F.col("hi") > F.col("lo"), (F.col("b") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
+    hops = F.when(F.col("source").startswith("n"), 0).when(F.col("source").startswith("c"), 1).otherwise(2)
+    out = scaled.join(rel.select(F.col("id").alias("relation_id"), "source"), "relation_id")
+    return out.select("relation_id", F.round("bm25", 6).alias("bm25"), F.round(graph.composite_score(hops, F.lit(0.5), F.col("bm25")), 6).alias("score"))
+
+
+_FACTS = "SELECT o_orderkey AS id, 'c' || o_custkey AS subject, 'prefers' AS predicate, o_orderpriority AS object, 'crm' AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders"
+
+
+def _facts(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return X.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("subject"), F.lit("prefers").alias("predicate"),
+        F.col("o_orderpriority").alias("object"), F.lit("crm").alias("path"), F.row_number().over(w).cast("long").alias("version"),
+    )
+
+
+_SUPER = f"f AS ({_FACTS}), s AS (SELECT a.id, arg_max(b.id, b.version) AS superseded_by FROM f a JOIN f b ON a.subject = b.subject AND a.predicate = b.predicate AND a.path = b.path AND b.version > a.version AND a.object <> b.object GROUP BY a.id)"
+
+
+@query(f"WITH {_SUPER} SELECT id, superseded_by FROM s")
+def kg_supersession(spark, d):
+    return graph.superseded_by(_facts(spark, d))
+
+
+@query(f"WITH {_SUPER} SELECT id, subject, object FROM f ANTI JOIN s USING (id)")
+def kg_active_relations(spark, d):
+    f = _facts(spark, d)
+    return f.join(graph.superseded_by(f), "id", "left_anti").select("id", "subject", "object")
+
+
+@query()
+def kg_supersession_replay(spark, d):
+    return graph.replayed_supersession(_facts(spark, d).withColumn("ord", F.col("version")))
+
+
+_VEC = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
+
+
+@query(f"WITH v AS ({_VEC}), p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 50 = 0) SELECT query_id, id, round(s, 6) AS similarity FROM p WHERE s > 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) = 1")
+def entity_nearest_cosine(spark, d):
+    """Queries are every fiftieth vector, entities all others of the same type."""
+    v = X.table(spark, d, "embeddings").select("vec_id", F.col("label").alias("type"), "embedding")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "type", "embedding")
+    e = v.select(F.col("vec_id").alias("id"), "type", "embedding")
+    joined = q.join(e.select("id", F.col("type").alias("t"), F.col("embedding").alias("w")), (F.col("type") == F.col("t")) & (F.col("query_id") != F.col("id")))
+    s = joined.withColumn("similarity", T.cosine(F.col("embedding"), F.col("w"))).where("similarity > 0.1")
+    best = s.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("neg"))).alias("b"))
+    return best.select("query_id", (-F.col("b.neg")).alias("id"), F.round("b.similarity", 6).alias("similarity"))
+
+
+@query()
+def entity_resolution_greedy(spark, d):
+    v = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), F.concat(F.lit("e"), F.col("vec_id").cast("string")).alias("name"), F.col("label").cast("string").alias("type"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return graph.resolve(v, 0.5)
+
+
+@query(f"SELECT e.id, coalesce(n.canonical_name, e.source) AS source_name, e.predicate, coalesce(m.canonical_name, e.target) AS target_name FROM ({_REL}) e LEFT JOIN ({X.NODES_SQL}) n ON n.id = e.source LEFT JOIN ({X.NODES_SQL}) m ON m.id = e.target")
+def list_relations(spark, d):
+    e, n = graph_numbered(X.edges(spark, d)), X.nodes(spark, d)
+    a, b = n.select(F.col("id").alias("source"), F.col("canonical_name").alias("s")), n.select(F.col("id").alias("target"), F.col("canonical_name").alias("t"))
+    return e.join(a, "source", "left").join(b, "target", "left").select("id", F.coalesce("s", "source").alias("source_name"), "predicate", F.coalesce("t", "target").alias("target_name"))
+
+
+@query(X.NODES_SQL)
+def list_entities(spark, d):
+    return X.nodes(spark, d)
+
+
+# Traces ------------------------------------------------------------------
+
+MESSAGES = "SELECT 's' || conv_id AS session_id, turn AS seq, role, text, 'p' || (conv_id % 4) AS project, 's' || conv_id || ':msg:' || turn AS id FROM conversations"
+
+
+@query(f"WITH {bm25_sql(MESSAGES, 'text')} SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM scored QUALIFY rank <= 20")
+def history_search(spark, d):
+    s = search.bm25(X.messages(spark, d), search.phrases(QUESTION), "text").withColumn("score", F.round("score", 6))
+    return search.top(s, 20, F.desc("score"), F.col("id")).select("id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def history_search_merged(spark, d):
+    m = X.messages(spark, d).withColumn("created_at", F.lit(None).cast("timestamp"))
+    return trace.search(m, X.events(spark, d), QUESTION, 20)
+
+
+@query(f"WITH m AS ({MESSAGES}) SELECT c.seq AS center_seq, m.session_id, m.seq, m.role FROM m JOIN m c ON c.session_id = m.session_id AND c.role = 'system' AND m.seq BETWEEN c.seq - 2 AND c.seq + 2")
+def history_around(spark, d):
+    """Messages within two turns of each system message."""
+    m = X.messages(spark, d)
+    return trace.around(m, m.where("role = 'system'"), 2).select("center_seq", "session_id", "seq", "role")
+
+
+@query(f"SELECT id, file_path, created_at FROM ({X.EVENTS_SQL}) WHERE file_path = 'src/m3' OR starts_with(file_path, 'src/m3/') ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 50")
+def history_file(spark, d):
+    return trace.recent(X.events(spark, d), 50, path="src/m3/").select("id", "file_path", "created_at")
+
+
+@query(f"SELECT id, tool_name, created_at FROM ({X.EVENTS_SQL}) WHERE kind = 'tool_result' AND is_error AND created_at >= '2024-01-02' ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 100")
+def history_failures(spark, d):
+    return trace.recent(X.events(spark, d), 100, kind="tool_error", since="2024-01-02").select("id", "tool_name", "created_at")
+
+
+@query("SELECT 's' || conv_id || ':msg:' || turn AS id, substr(sha256(role || chr(0) || 'None' || chr(0) || left(text, 256)), 1, 16) AS digest FROM conversations")
+def synth_ids(spark, d):
+    return X.messages(spark, d).select("id", T.synthesized_id(F.col("role"), F.lit(None).cast("string"), F.col("text")).alias("digest"))
+
+
+@query("SELECT digest || CASE WHEN n > 1 THEN '~' || n ELSE '' END AS external_id, id FROM (SELECT *, row_number() OVER (PARTITION BY role, digest ORDER BY conv_id, turn) AS n FROM (SELECT role, conv_id, turn, 's' || conv_id || ':msg:' || turn AS id, substr(sha256(role || chr(0) || 'None' || chr(0) || left(text, 256)), 1, 16) AS digest FROM conversations))")
+def repeated_ids(spark, d):
+    """Equal digests are told apart by ~2, ~3 and so on."""
+    c = X.table(spark, d, "conversations").withColumn("digest", T.synthesized_id(F.col("role"), F.lit(None).cast("string"), F.col("text")))
+    n = F.row_number().over(Window.partitionBy("role", "digest").orderBy("conv_id", "turn"))
+    own = F.concat(F.lit("s"), F.col("conv_id").cast("string"), F.lit(":msg:"), F.col("turn").cast("string"))
+    return c.withColumn("n", n).select(F.when(F.col("n") > 1, F.concat("digest", F.lit("~"), F.col("n").cast("string"))).otherwise(F.col("digest")).alias("external_id"), own.alias("id"))
+
+
+@query("SELECT event_id AS id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS ordinal, user_id || '#' || (row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1) AS anchor, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events")
+def ordinals_and_anchors(spark, d):
+    e = X.table(spark, d, "events")
+    n = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) - 1
+    last = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return e.select(F.col("event_id").alias("id"), n.cast("long").alias("ordinal"), F.concat(F.col("user_id").cast("string"), F.lit("#"), n.cast("string")).alias("anchor"), last.alias("last_purchase"))
+
+
+@query(f"SELECT trace_kind, role, count(*) AS n, min(created_at) AS first_at FROM (SELECT 'message' AS trace_kind, role, NULL::TIMESTAMP AS created_at FROM conversations UNION ALL SELECT 'event', coalesce(tool_name, kind), created_at FROM ({X.EVENTS_SQL})) GROUP BY ALL")
+def trace_union_for_triage(spark, d):
+    return trace.trace_union(X.messages(spark, d), X.events(spark, d)).groupBy("trace_kind", "role").agg(F.count("*").alias("n"), F.min("created_at").alias("first_at"))
+
+
+# Lifecycle ---------------------------------------------------------------
+
+L = lifecycle
+#: Texts to triage: messages, each introduced by a phrase that its number picks, so that every band occurs.
+LEADS = ("", "Decision: we use this going forward. ", "The migration failed, then verify the schema and it is fixed. ", "Fact: the storage schema is sqlite. ", "Correction: old retrieval is stale, now updated instead of maybe. ",
+         "Plan: next step for the architecture. ", "Always run the test command first. ", "Maybe the cache rule, rather than the other, is a conflict. ", "Learned: error resolved in workflow checks. ")
+
+
+def _traces(spark, d) -> DataFrame:
+    c = X.messages(spark, d)
+    k = (F.xxhash64(F.lit(0)) * 0 + F.substring_index("id", ":msg:", -1).cast("long") + F.regexp_extract("session_id", r"(\d+)", 1).cast("long")) % len(LEADS)
+    lead = F.element_at(F.array(*map(F.lit, LEADS)), (k + 1).cast("int"))
+    return c.select(F.lit("message").alias("trace_kind"), F.col("id").alias("trace_id"), "project", "role", F.concat(lead, F.col("text")).alias("text"))
+
+
+_TRACES = f"SELECT 'message' AS trace_kind, 's' || conv_id || ':msg:' || turn AS trace_id, 'p' || (conv_id % 4) AS project, role, list_value({_quoted(LEADS)})[(turn + conv_id) % {len(LEADS)} + 1] || text AS text FROM conversations"
+_SIG = {"explicit": L.EXPLICIT, "durable": L.DURABLE, "fact": L.FACT, "planned": L.PLANNED, "fix_word": L.FIX, "fixed": L.FIXED, "proc": L.PROCEDURE, "correction": L.CORRECTION, "planning": L.PLAN}
+_TRIAGE = f"""tr AS ({_TRACES}), low AS (SELECT *, lower(left(text, 4000)) AS t FROM tr), sig AS (SELECT *, {', '.join(f"{_any('t', w, True)} AS {n}" for n, w in _SIG.items())} FROM low),
+band AS (SELECT *, fix_word AND fixed AS fix,
+  CASE WHEN (explicit AND role IN ('user', 'developer', 'system')) OR correction THEN 'explicit_decision_or_rule'
+       WHEN (fix_word AND fixed) OR (proc AND (durable OR explicit OR fix_word)) THEN 'failure_fix_or_procedure'
+       WHEN durable AND explicit THEN 'durable_change_with_intent' WHEN durable AND fact THEN 'declared_durable_fact' WHEN durable AND planned THEN 'declared_durable_plan' ELSE 'weak_context_only' END AS reason FROM sig),
+triaged AS (SELECT trace_kind, trace_id, project, role, text, reason, reason <> 'weak_context_only' AS should_extract,
+  CASE reason WHEN 'explicit_decision_or_rule' THEN 0.80 WHEN 'declared_durable_plan' THEN 0.55 WHEN 'weak_context_only' THEN 0.35 ELSE 0.65 END::DOUBLE AS importance,
+  CASE reason WHEN 'explicit_decision_or_rule' THEN 0.75 WHEN 'failure_fix_or_procedure' THEN 0.65 WHEN 'declared_durable_plan' THEN 0.55 WHEN 'weak_context_only' THEN 0.50 ELSE 0.60 END::DOUBLE AS confidence,
+  CASE WHEN fix_word AND (proc OR fix) THEN CASE WHEN proc THEN 'procedure' ELSE 'learning' END WHEN correction THEN 'decision' WHEN {_any('t', ('preference', 'always', 'never', '以后'))} THEN 'preference'
+       WHEN {_any('t', ('decision', 'we decided', '决定', '记住'))} THEN 'decision' WHEN proc THEN 'procedure' WHEN fix THEN 'learning' WHEN fact THEN 'fact' WHEN planning THEN 'plan' WHEN durable THEN 'fact' ELSE 'context' END AS unit_type,
+  CASE WHEN {_any('t', L.ONGOING)} THEN 'ongoing' WHEN {_any('t', L.RANGE)} THEN 'range' ELSE 'unknown' END AS temporal_type,
+  list_filter([{', '.join(f"CASE WHEN {_any('t', w)} THEN '{n}' END" for n, w in L.LABELS.items())}], lambda x: x IS NOT NULL) AS raw_labels,
+  left(trim(regexp_extract(left(text, 4000), '^\\s*([^\\n\\r]*)', 1)), 200) AS hint FROM band)"""
+_LABELED = "CASE WHEN len(raw_labels) > 0 THEN raw_labels ELSE ['workflow'] END"
+
+
+@query(f"WITH {_TRIAGE} SELECT trace_id, should_extract, reason, importance, confidence, unit_type, temporal_type, array_to_string({_LABELED}, ',') AS labels, hint FROM triaged")
+def triage_gate(spark, d):
+    t = L.triage(_traces(spark, d))
+    return t.select("trace_id", "should_extract", "reason", "importance", "confidence", "unit_type", "temporal_type", F.array_join("labels", ",").alias("labels"), "hint")
+
+
+@query(f"SELECT count(*) FILTER (p AND g) AS true_positive, count(*) FILTER (p AND NOT g) AS false_positive, count(*) FILTER (NOT p AND g) AS false_negative, count(*) AS n FROM (SELECT {_any('lower(left(text, 4000))', L.DURABLE + L.EXPLICIT)} AS p, quality = 1 AS g FROM documents JOIN labels USING (doc_id))")
+def triage_metrics(spark, d):
+    """A keyword gate held against labels."""
+    t = X.table(spark, d, "documents").join(X.table(spark, d, "labels"), "doc_id")
+    p, g = L.plain_any(F.lower(F.left("text", F.lit(4000))), L.DURABLE + L.EXPLICIT), F.col("quality") == 1
+    return t.agg(F.count_if(p & g).alias("true_positive"), F.count_if(p & ~g).alias("false_positive"), F.count_if(~p & g).alias("false_negative"), F.count("*").alias("n"))
+
+
+_UNITS = f"""{_TRIAGE}, ex AS (SELECT project, unit_type, 'active_unit' AS status, coalesce(nullif(hint, ''), 'Memory unit') AS title, left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1200) AS content,
+  'Extracted from message ' || trace_id AS context, importance, confidence, temporal_type, {_LABELED} AS labels, left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 300) AS quote, trace_id FROM triaged WHERE should_extract),
+hashed AS (SELECT *, sha256(concat_ws(chr(10), lower(trim(unit_type)), lower(trim(title)), lower(trim(content)), lower(trim(context)), lower(trim(project)))) AS content_hash FROM ex),
+units AS (SELECT *, row_number() OVER (ORDER BY trace_id) AS id FROM (SELECT * FROM hashed QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY trace_id) = 1))"""
+
+
+def _units(spark, d) -> DataFrame:
+    from .tables import numbered
+
+    return numbered(L.new_units(L.units_from(L.triage(_traces(spark, d))), "trace_id"), F.col("trace_id"))
+
+
+@query(f"WITH {_UNITS} SELECT id, project, unit_type, status, title, content_hash, importance, confidence FROM units")
+def unit_extract(spark, d):
+    return _units(spark, d).select("id", "project", "unit_type", "status", "title", "content_hash", "importance", "confidence")
+
+
+@query(f"WITH {_UNITS} SELECT id AS unit_id, 1::BIGINT AS n_sources FROM units")
+def independent_sources(spark, d):
+    s = _units(spark, d).select(F.col("id").alias("unit_id"), F.explode("sources").alias("s")).select("unit_id", "s.source_kind", "s.source_ref")
+    return L.independent_sources(s)
+
+
+@query(f"WITH {_UNITS} SELECT split_part(trace_id, ':msg:', 1) AS session, count(*) AS n_units FROM units GROUP BY 1")
+def units_by_session(spark, d):
+    return _units(spark, d).groupBy(T.session_key(F.col("trace_id")).alias("session")).agg(F.count("*").alias("n_units"))
+
+
+def _claim(text: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(replace(lower({text}), '_', ' '), '\\s+'), lambda w: length(w) >= 4))"
+
+
+_PAIRS = f"""{_UNITS}, bodies AS (SELECT id, project, unit_type, status, labels, lower(title || chr(10) || content) AS body, {_claim("title || chr(10) || content")} AS tokens FROM units),
+pairs AS (SELECT a.id AS a, b.id AS b, a.unit_type AS a_type, b.unit_type AS b_type, a.body AS a_body, b.body AS b_body, a.body || chr(10) || b.body AS bodies, len(list_intersect(a.tokens, b.tokens)) AS shared
+  FROM bodies a JOIN bodies b ON a.project = b.project AND a.id < b.id AND list_has_any(a.labels, b.labels))"""
+_CLASH = f"shared >= 3 AND NOT {_any('bodies', L.STRONG)} AND {_any('bodies', L.CONTRAST)}"
+
+
+@query(f"WITH {_PAIRS} SELECT a, b FROM pairs WHERE {_CLASH}")
+def conflicts(spark, d):
+    return L.conflicts(_units(spark, d))
+
+
+_SAID = f"({_any('b_body', L.CORRECTED)} OR (contains(b_body, 'old') AND {_any('b_body', ('now', 'updated'))}) OR (contains(a_body, 'maybe') AND b_type = 'decision'))"
+_REPLACED = f"shared >= 2 AND (a_type = b_type OR (a_type = 'plan' AND b_type = 'decision')) AND {_SAID}"
+
+
+@query(f"WITH {_PAIRS} SELECT a AS id, max(b) AS superseded_by FROM pairs WHERE {_REPLACED} GROUP BY a")
+def supersessions(spark, d):
+    return L.supersessions(_units(spark, d))
+
+
+@query(f"WITH {_UNITS} SELECT id, CASE WHEN unit_type IN ('plan', 'context') THEN 'review' ELSE 'archive' END AS action FROM units WHERE id % 3 = 0")
+def decay(spark, d):
+    u = _units(spark, d).withColumn("valid_to", F.when(F.col("id") % 3 == 0, "2024-05-01T00:00:00Z").otherwise("2024-07-01T00:00:00Z"))
+    return L.decay(u, F.lit(AS_OF).cast("timestamp"))
+
+
+@query(f"WITH {_UNITS} SELECT id, CASE WHEN {_any('lower(title || chr(10) || content || chr(10) || context)', L.CONFIRMED)} THEN 'explicit_user_confirmation' ELSE 'below_crystal_threshold' END AS policy, unit_type IN ('procedure', 'learning') AND {_any('lower(title || chr(10) || content || chr(10) || context)', ('failure', 'failed', 'error', 'verify'))} AS candidate FROM units")
+def crystal_policy(spark, d):
+    return _units(spark, d).select("id", L.crystal_policy(F.lit(1)).alias("policy"), L.crystal_candidate().alias("candidate"))
+
+
+_ISSUES = f"""v AS (SELECT *, {_claim('content')} AS c, {_claim('title')} AS tt, {_claim('quote')} AS q, length(trim(content)) AS n FROM units),
+issues AS (
+  SELECT id, 'vague content (insufficient signal)' AS reason, true AS rejects FROM v WHERE n BETWEEN 3 AND 4000 AND len(c) > 0 AND n < 80 AND NOT regexp_matches(content, '[^\\x{{0}}-\\x{{2FF}}]') AND (len(c) < 3 OR (len(tt) > 0 AND len(c) < len(tt) AND len(c) < 12))
+  UNION ALL SELECT id, 'content length out of bounds', true FROM v WHERE n NOT BETWEEN 3 AND 4000
+  UNION ALL SELECT id, 'insufficient provenance for crystal (needs a quote or ≥2 sources)', true FROM v WHERE trim(quote) = ''
+  UNION ALL SELECT id, 'duplicate title also used by ' || f, true FROM (SELECT id, min(id) OVER (PARTITION BY project, lower(trim(title))) AS f FROM v) WHERE f < id
+  UNION ALL SELECT id, 'unsupported claim heuristic', true FROM v WHERE len(c) > 0 AND length(trim(quote)) >= 20 AND len(q) > 0 AND len(list_intersect(c, q)) < 2
+  UNION ALL SELECT id, 'decision missing rationale (why)', false FROM v WHERE unit_type IN ('decision', 'learning', 'procedure')
+  UNION ALL SELECT id, 'procedure/plan missing next_step', false FROM v WHERE unit_type IN ('procedure', 'plan')
+  UNION ALL SELECT id, 'procedure missing how_to_apply', false FROM v WHERE unit_type = 'procedure')"""
+
+
+@query(f"WITH {_UNITS}, {_ISSUES} SELECT id, reason, rejects FROM issues")
+def validator_issues(spark, d):
+    return L.issues(_units(spark, d))
+
+
+@query(f"""WITH {_PAIRS}, {_ISSUES}, held AS (SELECT id, min(reason) AS why FROM issues WHERE rejects GROUP BY id), good AS (SELECT p.* FROM pairs p WHERE a NOT IN (SELECT id FROM held) AND b NOT IN (SELECT id FROM held)),
+clash AS (SELECT a AS id FROM good WHERE {_CLASH} UNION SELECT b FROM good WHERE {_CLASH}), super AS (SELECT a AS id, max(b) AS superseded_by FROM good WHERE {_REPLACED} AND a NOT IN (FROM clash) AND b NOT IN (FROM clash) GROUP BY a),
+p AS (SELECT u.id, h.why, c.id IS NOT NULL AS clash, s.superseded_by, {_any("lower(u.title || chr(10) || u.content || chr(10) || u.context)", L.CONFIRMED)} AS sure,
+  u.unit_type IN ('procedure', 'learning') AND {_any("lower(u.title || chr(10) || u.content || chr(10) || u.context)", ('failure', 'failed', 'error', 'verify'))} AS likely
+  FROM units u LEFT JOIN held h ON h.id = u.id LEFT JOIN clash c ON c.id = u.id LEFT JOIN super s ON s.id = u.id),
+x AS (SELECT id, CASE WHEN why IS NOT NULL THEN 'reject' WHEN clash THEN 'conflict' WHEN superseded_by IS NOT NULL THEN 'supersede' WHEN sure THEN 'promote' WHEN likely THEN 'candidate' END AS action, why, superseded_by FROM p)
+SELECT id, action, CASE action WHEN 'reject' THEN why WHEN 'promote' THEN 'crystal policy: explicit_user_confirmation' ELSE action END AS reason, CASE WHEN action = 'supersede' THEN superseded_by END AS superseded_by FROM x WHERE action IS NOT NULL""")
+def consolidation_plan(spark, d):
+    u = _units(spark, d)
+    n = u.select(F.col("id").alias("unit_id"), F.lit(1).alias("n_sources"))
+    return L.consolidation(u, n, F.lit(AS_OF).cast("timestamp"))
+
+
+@query(f"""WITH {_UNITS}, v AS (SELECT *, {_claim('content')} AS c, {_claim('quote')} AS q FROM units)
+SELECT section, count(*) AS n FROM (SELECT CASE WHEN list_has_any(labels, ['security', 'performance']) OR (len(c) > 0 AND length(trim(quote)) >= 20 AND len(q) > 0 AND len(list_intersect(c, q)) < 2) THEN 'Gotchas'
+  WHEN unit_type = 'decision' THEN 'Architecture decisions' WHEN unit_type IN ('preference', 'procedure') OR list_contains(labels, 'conventions') THEN 'Rules / Conventions' WHEN unit_type IN ('fact', 'learning') THEN 'Discovered durable knowledge' ELSE 'Other' END AS section FROM v) GROUP BY section""")
+def export_sections(spark, d):
+    return _units(spark, d).groupBy(L.export_section().alias("section")).agg(F.count("*").alias("n"))
+
+
+_UNIT_QUESTION = "decision migration schema failed"
+
+
+@query(f"""WITH {_UNITS}, {bm25_sql("SELECT id, unit_type, importance, confidence, title || ' ' || content || ' ' || context AS body FROM units", 'body', _UNIT_QUESTION)},
+pool AS (SELECT * FROM (SELECT id, round(score, 6) AS score, importance, confidence FROM scored) QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 80),
+rel AS (SELECT *, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END AS r FROM pool)
+SELECT id, round(r * importance * confidence * (1 / (1 + (id % 60) / 30.0)), 6) AS score FROM rel QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 20""")
+def memory_recall_ranked(spark, d):
+    """Recall over units of an injected age."""
+    u = _units(spark, d).withColumn("body", F.concat_ws(" ", "title", "content", "context"))
+    pool = search.bm25(u, search.phrases(_UNIT_QUESTION), "body").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(80)
+    as_of = F.lit(AS_OF).cast("timestamp")
+    stamp = F.timestamp_add("DAY", -(F.col("id") % 60).cast("int"), as_of) if hasattr(F, "timestamp_add") else as_of
+    s = L.recall_score(search.min_max(F.col("score"), equal=1.0), F.col("importance"), F.col("confidence"), T.recency(stamp, as_of), F.lit(False))
+    return pool.select("id", F.round(s, 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+@query(f"""WITH RECURSIVE {_UNITS}, tk AS (SELECT id, {_claim("regexp_replace(title || chr(10) || content || chr(10) || context, '[-./]+', ' ', 'g')")} AS t FROM units WHERE unit_type IN ('procedure', 'learning')),
+pr AS (SELECT a.id AS a, b.id AS b FROM tk a JOIN tk b ON a.id <> b.id AND len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) >= 0.35),
+reach AS (SELECT id, id AS root FROM tk UNION SELECT pr.b, reach.root FROM reach JOIN pr ON pr.a = reach.id AND reach.root < pr.b)
+SELECT id, min(root) AS root FROM reach GROUP BY id""")
+def distill_groups(spark, d):
+    u = _units(spark, d).where(F.col("unit_type").isin("procedure", "learning"))
+    t = u.select("id", T.distill_tokens(F.concat_ws("\n", "title", "content", "context")).alias("tokens"))
+    return distill.components(t, distill.overlap_pairs(t.where(F.size("tokens") > 0)))
+
+
+@query()
+def distill_candidates(spark, d):
+    u = _units(spark, d).where(F.col("unit_type").isin("procedure", "learning")).withColumn("recall_count", F.lit(0))
+    s = u.select(F.col("id").alias("unit_id"), F.explode("sources").alias("s")).select("unit_id", "s.source_kind", "s.source_ref")
+    assets = spark.createDataFrame([("script", "migration verify schema", "scripts/verify.sh")], "form string, name string, path string")
+    return distill.candidates(u, s, assets)
+
+
+# Queue and evaluation ----------------------------------------------------
+
+_LOG = "SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'done' END AS status, CASE WHEN event_type = 'error' THEN props END AS error FROM events"
+_STATE = f"log AS ({_LOG}), state AS (SELECT id, arg_max(status, seq) AS status, count(*) FILTER (status = 'failed') AS retries FROM log GROUP BY id)"
+
+
+def _log(spark, d):
+    s = F.col("event_type")
+    status = F.when(s == "signup", "pending").when(s == "view", "processing").when(s == "error", "failed").otherwise("done")
+    return X.table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), status.alias("status"), F.when(s == "error", F.col("props")).alias("error"))
+
+
+@query(f"WITH {_STATE} SELECT s.status, count(state.id) AS n FROM (VALUES ('pending'), ('processing'), ('done'), ('failed')) s(status) LEFT JOIN state USING (status) GROUP BY s.status")
+def queue_status_counts(spark, d):
+    return queue.counts(queue.latest(_log(spark, d)))
+
+
+@query(f"WITH {_STATE} SELECT id, retries FROM state WHERE status = 'failed' AND retries < 30")
+def retry_candidates(spark, d):
+    return queue.retryable(queue.latest(_log(spark, d)), 30).select("id", "retries")
+
+
+@query("SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS category, count(*) AS n, round(avg(hit), 6) AS hit_rate FROM (SELECT lang, CASE WHEN contains(lower(text), 'the') AND contains(lower(text), 'an') THEN 1.0 ELSE 0.0 END AS hit FROM documents) GROUP BY ROLLUP (lang)")
+def keyword_hit_eval(spark, d):
+    """Rate of texts that hold all expected keywords, per category and over all."""
+    keys = F.array(F.lit("the"), F.lit("an"))
+    hit = F.forall(keys, lambda k: F.contains(F.lower("content"), k)).cast("double")
+    rows = X.documents(spark, d).select("project", hit.alias("hit")).rollup("project").agg(F.grouping("project").alias("g"), F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"))
+    return rows.select(F.when(F.col("g") == 1, "all").otherwise(F.col("project")).alias("category"), "n", "hit_rate")
