@@ -89,9 +89,9 @@ def _redact_sql() -> str:
     text = "text"
     put = lambda pattern, keep: f"regexp_replace({text}, '{pattern}', '{chr(92) + '1' if keep else ''}{T.MARK}', 'g')"
     for pattern, keep in T.SECRETS:
-        if r"\2" in pattern:  # the SQL's engine has no back-references: one pattern for each quote, the bare one last
+        if r"\2" in pattern:  # the SQL's engine has no back-references: one pattern for the bare form, then one for each quote
             head = pattern[: pattern.index("(['")]
-            for q in ('"', "''", ""):
+            for q in ("", '"', "''"):
                 text = put(head + q + "[^\\s''\"]{8,}" + q, keep)
         else:
             text = put(pattern, keep)
@@ -584,13 +584,13 @@ _UNIT_QUESTION = "decision migration schema failed"
 @query(f"""WITH {_UNITS}, {bm25_sql("SELECT id, unit_type, importance, confidence, title || ' ' || content || ' ' || context AS body FROM units", 'body', _UNIT_QUESTION)},
 pool AS (SELECT * FROM (SELECT id, round(score, 6) AS score, importance, confidence FROM scored) QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 80),
 rel AS (SELECT *, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END AS r FROM pool)
-SELECT id, round(r * importance * confidence * (1 / (1 + (id % 60) / 30.0)), 6) AS score FROM rel QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 20""")
+SELECT id, score FROM (SELECT id, round(r * importance * confidence * (1 / (1 + (id % 60) / 30.0)), 6) AS score FROM rel) QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 20""")
 def memory_recall_ranked(spark, d):
     """Recall over units of an injected age."""
     u = _units(spark, d).withColumn("body", F.concat_ws(" ", "title", "content", "context"))
     pool = search.bm25(u, search.phrases(_UNIT_QUESTION), "body").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(80)
     as_of = F.lit(AS_OF).cast("timestamp")
-    stamp = F.timestamp_add("DAY", -(F.col("id") % 60).cast("int"), as_of) if hasattr(F, "timestamp_add") else as_of
+    stamp = F.expr(f"timestamp'{AS_OF}' - make_dt_interval(id % 60)")
     s = L.recall_score(search.min_max(F.col("score"), equal=1.0), F.col("importance"), F.col("confidence"), T.recency(stamp, as_of), F.lit(False))
     return pool.select("id", F.round(s, 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 

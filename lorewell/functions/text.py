@@ -171,11 +171,8 @@ WHOLE_WORDS = ("resolved", "decision")
 
 
 def has_any(text: Column, keywords: Sequence[str]) -> Column:
-    """Whether any keyword is in the text."""
-    found = F.lit(False)
-    for k in keywords:
-        found = found | (text.rlike(rf"(?U)\b{k}\b") if k in WHOLE_WORDS else F.contains(text, F.lit(k)))
-    return found
+    """Whether any keyword is in the text, as one pattern."""
+    return text.rlike("(?U)" + "|".join(rf"\b{k}\b" if k in WHOLE_WORDS else rf"\Q{k}\E" for k in keywords))
 
 
 def first_line(text: Column, most: int = 200) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import shared_dir, written
 
 # The closed vocabularies.
 UNIT_TYPES = ("preference", "decision", "procedure", "fact", "learning", "plan", "event", "context")
@@ -44,10 +45,8 @@ CONFIRMED = ("user-confirmed", "owner confirmed", "explicitly confirmed")
 
 
 def plain_any(text: Column, words) -> Column:
-    found = F.lit(False)
-    for w in words:
-        found = found | F.contains(text, F.lit(w))
-    return found
+    """Whether any of the words is in the text, as one pattern."""
+    return text.rlike("|".join(rf"\Q{w}\E" for w in words))
 
 
 def triage(traces: DataFrame, manual: bool = False) -> DataFrame:
@@ -283,9 +282,11 @@ def consolidation(units: DataFrame, n_sources: DataFrame, as_of: Column, scores:
     scores (id, score): transitions of units that score below the threshold
     are left out; units without a score keep theirs.
     """
-    held = issues(units).where("rejects").groupBy("id").agg(F.min("reason").alias("why"))
+    top = shared_dir(units.sparkSession)
+    units = written(units, f"{top}/units")
+    held = written(issues(units).where("rejects").groupBy("id").agg(F.min("reason").alias("why")), f"{top}/held")
     good = units.join(held, "id", "left_anti")
-    clash = conflicts(good)
+    clash = written(conflicts(good), f"{top}/clash")
     ids = clash.select(F.col("a").alias("id")).unionByName(clash.select(F.col("b").alias("id"))).distinct()
     df = units.join(n_sources.select(F.col("unit_id").alias("id"), "n_sources"), "id", "left")
     df = df.join(held, "id", "left").join(ids.withColumn("clash", F.lit(True)), "id", "left").join(supersessions(good, ids).withColumnRenamed("superseded_by", "by"), "id", "left")
