@@ -111,14 +111,16 @@ def _level(seed: int, level: int, block: int):
     def run(key, table):
         import pyarrow as pa
 
-        t = table.to_pandas().sort_values(["order", "doc_id", "size"], kind="stable", ignore_index=True)
+        order = np.lexsort([table[c].fill_null(-1).to_numpy() for c in ("size", "doc_id", "order")])
+        table = table.take(pa.array(order))
         rng = np.random.default_rng([seed, level, int(key[0].as_py()), int(key[1].as_py())])
-        size, old, blocks = t["size"].to_numpy(float), t["p"].to_numpy(float), int(t["blocks"][0])
+        size, old, blocks = table["size"].to_numpy().astype(float), table["p"].to_numpy(), table["blocks"][0].as_py()
         p = flight(old, size, rng)
-        t["p"] = landing(p, size, (old > EPS) & (old < 1 - EPS)) if blocks == 1 else p
-        t["blocks"] = max(1, -(-blocks * 2 // block))
-        t["block"] = t["block"] % t["blocks"]
-        return pa.Table.from_pandas(t, preserve_index=False)
+        if blocks == 1:
+            p = landing(p, size, (old > EPS) & (old < 1 - EPS))
+        after = max(1, -(-blocks * 2 // block))
+        new = {"p": pa.array(p), "blocks": pa.array(np.full(len(p), after, np.int64)), "block": pa.array(table["block"].to_numpy() % after)}
+        return pa.table([new.get(c, table[c]) for c in table.column_names], names=table.column_names)
 
     return run
 
