@@ -284,7 +284,7 @@ def consolidation(units: DataFrame, n_sources: DataFrame, as_of: Column, scores:
     """
     top = shared_dir(units.sparkSession)
     units = written(units, f"{top}/units")
-    held = written(issues(units).where("rejects").groupBy("id").agg(F.min("reason").alias("why")), f"{top}/held")
+    held = written(issues(units).where("rejects").groupBy("id").agg(F.min("reason").alias("held_for")), f"{top}/held")
     good = units.join(held, "id", "left_anti")
     clash = written(conflicts(good), f"{top}/clash")
     ids = clash.select(F.col("a").alias("id")).unionByName(clash.select(F.col("b").alias("id"))).distinct()
@@ -295,7 +295,7 @@ def consolidation(units: DataFrame, n_sources: DataFrame, as_of: Column, scores:
     df = df.withColumn("policy", crystal_policy(F.coalesce("n_sources", F.lit(0)))).withColumn("likely", crystal_candidate())
     open_ = F.col("status").isin("active_unit", "crystal_candidate")
     action = (
-        F.when(F.col("why").isNotNull(), "reject").when(F.col("clash"), "conflict").when(F.col("by").isNotNull(), "supersede").when(F.col("past").isNotNull(), F.col("past"))
+        F.when(F.col("held_for").isNotNull(), "reject").when(F.col("clash"), "conflict").when(F.col("by").isNotNull(), "supersede").when(F.col("past").isNotNull(), F.col("past"))
         .when(open_ & F.col("policy").isin(*ELIGIBLE), "promote").when((F.col("status") == "active_unit") & F.col("likely"), "candidate")
         .when((F.col("status") == "crystal_candidate") & ~F.col("likely"), "demote")
     )
@@ -304,7 +304,7 @@ def consolidation(units: DataFrame, n_sources: DataFrame, as_of: Column, scores:
         low = scores.where(F.col("score") < threshold).select("id")
         moved = ["supersede", "archive", "promote", "candidate", "demote"]
         df = df.where(~F.col("action").isin(*moved)).unionByName(df.where(F.col("action").isin(*moved)).join(low, "id", "left_anti"))
-    reason = F.when(F.col("action") == "reject", F.col("why")).when(F.col("action") == "promote", F.concat(F.lit("crystal policy: "), F.col("policy"))).otherwise(F.col("action"))
+    reason = F.when(F.col("action") == "reject", F.col("held_for")).when(F.col("action") == "promote", F.concat(F.lit("crystal policy: "), F.col("policy"))).otherwise(F.col("action"))
     return df.select("id", "action", reason.alias("reason"), F.when(F.col("action") == "supersede", F.col("by")).alias("superseded_by"))
 
 
