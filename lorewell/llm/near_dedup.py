@@ -305,3 +305,22 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles of two words, as the contract has it."""
     return near_duplicates(documents(spark, sf_dir), width=2)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) ELSE w END AS s FROM w
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, len(a.s) + len(b.s) AS n, len(list_intersect(a.s, b.s)) AS k
+  FROM s a JOIN s b ON a.doc_id < b.doc_id AND len(a.s) > 0 AND 100 * len(a.s) >= 80 * len(b.s) AND 100 * len(b.s) >= 80 * len(a.s)
+), l AS (
+  SELECT a, b FROM p WHERE 100 * k >= 80 * (n - k) UNION ALL SELECT b, a FROM p WHERE 100 * k >= 80 * (n - k)
+), reach AS (
+  SELECT doc_id AS id, doc_id AS root FROM s UNION SELECT l.b, r.root FROM reach r JOIN l ON l.a = r.id AND r.root < l.b
+), c AS (
+  SELECT id, min(root) AS component_id FROM reach GROUP BY id
+)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.id = s.doc_id
+"""

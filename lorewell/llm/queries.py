@@ -20,4 +20,5 @@ SQL = {
     "op5_licence_scan": licences.OP5_SQL,
     "op8_exact_topk": topk.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op10_near_dedup": near_dedup.OP10_SQL,
 }
