@@ -246,7 +246,7 @@ def _merged(table) -> tuple[np.ndarray, np.ndarray]:
     return summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
 
-def trained(texts: DataFrame, model_dir: str | None = None, most_ranges: int = 4096) -> Model:
+def trained(texts: DataFrame, model_dir: str | None = None, most_ranges: int = 65_536) -> Model:
     """Counts, merges and writes the model of the training texts in texts (doc_id, text)."""
     import pyarrow as pa
 
