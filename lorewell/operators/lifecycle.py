@@ -226,47 +226,69 @@ def issues(units: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     return out.unionByName(each.select("id", F.concat(F.lit("stale source path: "), F.col("path")).alias("reason"), F.lit(True).alias("rejects")))
 
 
-def _paired(units: DataFrame, statuses: tuple[str, ...], shared_tokens: int) -> DataFrame:
-    """Pairs (a < b by id) of live units of one project that share a label and so many tokens of title and content.
+def _live(units: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
+    """id, project, unit_type, labels, body, tokens of units in these states."""
+    live = units.where(F.col("status").isin(*statuses)).select("id", "project", "unit_type", "labels", _body("title", "content").alias("body"))
+    return live.withColumn("tokens", T.claim_tokens(F.col("body")))
+
+
+def _pairs(live: DataFrame, left: Column, right: Column, shared_tokens: int) -> DataFrame:
+    """Pairs (a, b) of one project, a from the left rows of live and b from the right ones, that share a label and so many tokens.
 
-    Candidates meet on tokens, not on labels: of n tokens in a unit's fixed
-    order from rare to frequent, one of the first n - k + 1 is in any other set
-    that shares k, so only those are joined; full sets decide.
+    Of n tokens in one order from rare to frequent, one of the first
+    n - k + 1 of either set is in the other's if both share k, so only those
+    are joined, and only between rows that the caller's signals leave; full
+    sets decide.
     """
-    live = units.where(F.col("status").isin(*statuses)).select("id", "project", "unit_type", "labels", _body("title", "content").alias("body"))
-    live = live.withColumn("tokens", T.claim_tokens(F.col("body"))).where(F.size("tokens") >= shared_tokens)
-    each = live.select("id", "project", F.explode("tokens").alias("token"))
+    live = live.withColumn("lw_left", left).withColumn("lw_right", right).where((F.col("lw_left") | F.col("lw_right")) & (F.size("tokens") >= shared_tokens))
+    each = live.select("id", "project", "lw_left", "lw_right", F.explode("tokens").alias("token"))
     df = each.groupBy("project", "token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(df, ["project", "token"]).groupBy("id", "project").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    heads = ranked.select("id", "project", F.explode(F.slice("t", 1, F.greatest(F.size("t") - (shared_tokens - 1), F.lit(0)))).alias("t")).select("id", "project", F.col("t.token").alias("token"))
-    a, b = heads.select(F.col("id").alias("a"), "project", "token"), heads.select(F.col("id").alias("b"), "project", "token")
-    pairs = a.join(b, ["project", "token"]).where("a < b").select("a", "b").distinct()
+    ranked = each.join(df, ["project", "token"]).groupBy("id", "project", "lw_left", "lw_right").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    heads = ranked.select("id", "project", "lw_left", "lw_right", F.explode(F.slice("t", 1, F.greatest(F.size("t") - (shared_tokens - 1), F.lit(0)))).alias("t")).withColumn("token", F.col("t.token"))
+    a = heads.where("lw_left").select(F.col("id").alias("a"), "project", "token")
+    b = heads.where("lw_right").select(F.col("id").alias("b"), "project", "token")
+    met = a.join(b, ["project", "token"]).where("a <> b").select("a", "b").distinct()
     side = lambda n: live.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("unit_type", "labels", "body", "tokens")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a_labels", "b_labels"))
-    return both.withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens"))).where(F.col("shared") >= shared_tokens)
+    both = met.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a_labels", "b_labels"))
+    return both.where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= shared_tokens)
 
 
 def conflicts(units: DataFrame) -> DataFrame:
-    """(a, b): live units of one project that share a label and three tokens, contrast, and don't correct each other."""
-    both = F.concat_ws("\n", "a_body", "b_body")
-    return _paired(units, LIVE, 3).where(~plain_any(both, STRONG) & plain_any(both, CONTRAST)).select("a", "b")
+    """(a, b), a < b: live units of one project that share a label and three tokens, contrast, and don't correct each other.
+
+    One of the two says the contrast, so pairs start from those that do.
+    """
+    plain = _live(units, LIVE).where(~plain_any(F.col("body"), STRONG))
+    met = _pairs(plain, plain_any(F.col("body"), CONTRAST), F.lit(True), 3)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def review_pairs(units: DataFrame, similar: DataFrame) -> DataFrame:
-    """(a, b): pairs of similar (a, b) of one type that share four tokens with a Jaccard similarity of 0.35 or more."""
-    both = F.concat_ws("\n", "a_body", "b_body")
-    good = (F.col("a_unit_type") == F.col("b_unit_type")) & ~plain_any(both, STRONG) & (T.jaccard(F.col("a_tokens"), F.col("b_tokens")) >= 0.35)
-    return _paired(units, LIVE, 4).where(good).join(similar, ["a", "b"], "left_semi").select("a", "b")
+    """(a, b): pairs of similar (a, b) of one type that share four tokens with a Jaccard similarity of 0.35 or more.
+
+    The pairs are given, so only their texts are fetched.
+    """
+    live = _live(units, LIVE).where(~plain_any(F.col("body"), STRONG) & (F.size("tokens") >= 4))
+    side = lambda n: live.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("project", "unit_type", "labels", "tokens")])
+    both = similar.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where("a_project <=> b_project AND a_unit_type = b_unit_type")
+    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    return both.where(F.arrays_overlap("a_labels", "b_labels") & (shared >= 4) & (T.jaccard(F.col("a_tokens"), F.col("b_tokens")) >= 0.35)).select("a", "b")
 
 
 def supersessions(units: DataFrame, in_conflict: DataFrame | None = None) -> DataFrame:
-    """(id, superseded_by): units and the newest later one that replaces them."""
+    """(id, superseded_by): units and the newest later one that replaces them.
+
+    Either the newer one says so, or it is a decision and the older one a
+    maybe; these are two joins, each between the rows that have its signals.
+    """
     if in_conflict is not None:
         units = units.join(in_conflict, "id", "left_anti")
-    old, new = F.col("a_body"), F.col("b_body")
+    live, body = _live(units, ("active_unit", "crystal")), F.col("body")
+    said = plain_any(body, CORRECTED) | (F.contains(body, F.lit("old")) & plain_any(body, ("now", "updated")))
     types = (F.col("a_unit_type") == F.col("b_unit_type")) | ((F.col("a_unit_type") == "plan") & (F.col("b_unit_type") == "decision"))
-    said = plain_any(new, CORRECTED) | (F.contains(new, F.lit("old")) & plain_any(new, ("now", "updated"))) | (F.contains(old, F.lit("maybe")) & (F.col("b_unit_type") == "decision"))
-    pairs = _paired(units, ("active_unit", "crystal"), 2).where(types & said)
+    one = _pairs(live, F.lit(True), said, 2)
+    two = _pairs(live, F.contains(body, F.lit("maybe")), F.col("unit_type") == "decision", 2)
+    pairs = one.unionByName(two).where(types & (F.col("b") > F.col("a")))
     return pairs.groupBy(F.col("a").alias("id")).agg(F.max("b").alias("superseded_by"))
 
 
