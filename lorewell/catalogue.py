@@ -613,6 +613,44 @@ def distill_candidates(spark, d):
     return distill.candidates(u, s, assets)
 
 
+_WORDS_SQL = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
+_SIMILAR = f"""{_UNITS}, body AS (SELECT id, project, {_WORDS_SQL.format("title || ' ' || content || ' ' || context")} AS w, {_WORDS_SQL.format("title || ' ' || content")} AS q FROM units), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM body),
+post AS (SELECT id, project, length, term, count(*) AS f FROM (SELECT id, project, len(w) AS length, unnest(w) AS term FROM body) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+parts AS (SELECT p.id AS other, p.project, p.term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / a)) AS part FROM post p JOIN dfs USING (term), st),
+asked AS (SELECT id, project, term, count(*) AS times FROM (SELECT id, project, unnest(q) AS term FROM body) GROUP BY ALL), met AS (SELECT a.id, p.other, round(sum(times * part), 6) AS score FROM asked a JOIN parts p USING (project, term) WHERE a.id <> p.other GROUP BY ALL),
+similar_ AS (SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b FROM (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= 5))"""
+
+
+@query(f"WITH {_SIMILAR} SELECT a, b FROM similar_")
+def fts_similar_pairs(spark, d):
+    return search.similar_pairs(_units(spark, d))
+
+
+@query(f"""WITH {_SIMILAR}, tok AS (SELECT id, unit_type, labels, lower(title || chr(10) || content) AS body, {_claim("title || chr(10) || content")} AS t FROM units)
+SELECT a, b FROM similar_ JOIN tok x ON x.id = a JOIN tok y ON y.id = b WHERE x.unit_type = y.unit_type AND list_has_any(x.labels, y.labels) AND NOT {_any('x.body', L.STRONG)} AND NOT {_any('y.body', L.STRONG)}
+  AND len(x.t) >= 4 AND len(y.t) >= 4 AND len(list_intersect(x.t, y.t)) >= 4 AND len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.35""")
+def review_pairs(spark, d):
+    u = _units(spark, d)
+    return L.review_pairs(u, search.similar_pairs(u))
+
+
+@query()
+def fused_three_pass(spark, d):
+    """Each nation as a question: its customers as triples with two documents as evidence, its suppliers' documents as chunks."""
+    n_docs = X.documents(spark, d).count()
+    cost = X.documents(spark, d).select(F.col("id").alias("doc_id"), T.est_tokens(F.col("content")).alias("cost"))
+    c = X.table(spark, d, "customer")
+    ev = c.select("c_nationkey", "c_custkey", "c_name", F.explode(F.array(F.col("c_custkey") % n_docs, (F.col("c_custkey") * 7) % n_docs)).alias("doc_id")).join(cost, "doc_id")
+    t = ev.groupBy("c_nationkey", "c_custkey", "c_name").agg(F.sort_array(F.collect_list(F.struct("doc_id", "cost"))).alias("evidence"))
+    t = t.select("c_nationkey", F.struct("c_custkey", T.est_tokens(F.concat("c_name", F.lit(": located_in nation"))).alias("cost"), "evidence").alias("t"))
+    triples = t.groupBy("c_nationkey").agg(F.sort_array(F.collect_list("t")).alias("triples"))
+    s = X.table(spark, d, "supplier").withColumn("doc_id", (F.col("s_suppkey") * 3) % n_docs).join(cost, "doc_id")
+    chunks = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("doc_id", "cost"))).alias("chunks"))
+    both = triples.join(chunks, F.col("c_nationkey") == F.col("s_nationkey"))
+    out = both.select(F.col("c_nationkey").alias("nation"), pack.fused(F.col("triples"), F.col("chunks"), 4000).alias("f"))
+    return out.select("nation", F.size("f.triples").alias("n_triples"), F.size("f.backfill").alias("n_backfill"), F.size("f.chunks").alias("n_chunks"), "f.used")
+
+
 # Queue and evaluation ----------------------------------------------------
 
 _LOG = "SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'done' END AS status, CASE WHEN event_type = 'error' THEN props END AS error FROM events"
