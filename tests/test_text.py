@@ -90,3 +90,13 @@ def test_plug_ins(spark):
     assert got[1].entities[0].name == "good" and got[1].error is None and got[2].error == "ValueError: no"
     v = chunk.embedded(docs.selectExpr("content AS text"), lambda ts: [chunk.hashed_embedding(t) for t in ts]).collect()
     assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in v) and len(v) == 2
+
+
+def test_cjk_excerpts():
+    filler = "无关的句子在这里。" * 80
+    text = filler + "苏轼是宋代的词人。" + filler
+    out = chunk.cjk_excerpt("宋代词人", text)
+    assert out.startswith("\n\n[excerpt]\n...") and "苏轼是宋代的词人。" in out and len(out) < len(text) / 2
+    assert chunk.cjk_excerpt("宋代", "短文宋代") == "短文宋代" and chunk.cjk_excerpt("english", text) == text.strip()
+    assert "current phase" in chunk.cjk_excerpt("当前阶段是什么", filler + "The current phase is three." + filler)
+    assert chunk.cjk_anchors("苏轼词 a 宋代") == ["苏轼词", "苏轼", "轼词", "宋代"]
