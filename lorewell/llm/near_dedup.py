@@ -176,41 +176,41 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, bloc
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _possible(table, need: float, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+def _possible(table, need: float) -> Iterator[tuple[int, np.ndarray]]:
     """(row, rows): pairs of different components in one bucket, or pair of blocks, whose sketches leave a link possible.
 
-    A pair that shares several bands is left to the first of them.
+    A pair that shares several bands is left to the first of them, by the keys
+    that make the buckets: bytes of a sketch can agree where the keys don't.
     """
     first, second, nth = (table[c][0].as_py() for c in ("first", "second", "nth"))
     rep, root, blk = (table[c].to_numpy() for c in ("rep", "root", "blk"))
     sk = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)
+    keys = table["earlier"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), nth)
     least = sk.shape[1] * (need * 255 / 256 + 1 / 256)
     right = np.flatnonzero(blk == second)
     for i in np.flatnonzero(blk == first):
         others = right[(root[right] != root[i]) & ((rep[right] > rep[i]) | (first != second))]
         for c in range(0, len(others), 4096):
             part = others[c : c + 4096]
-            same = sk[part] == sk[i]
-            near = np.flatnonzero(same.sum(1) >= least)
+            near = part[(sk[part] == sk[i]).sum(1) >= least]
             if len(near):
-                earlier = same[near, : nth * rows].reshape(len(near), nth, rows).all(2).any(1)
-                yield i, part[near[~earlier]]
+                yield i, near[~(keys[near] == keys[i]).any(1)]
 
 
-def _involved(need: float, rows: int):
+def _involved(need: float):
     """Members of a bucket with a partner to be compared with."""
 
     def run(table):
         mine = np.zeros(table.num_rows, bool)
-        for i, partners in _possible(table, need, rows):
+        for i, partners in _possible(table, need):
             mine[i] |= len(partners) > 0
             mine[partners] = True
-        return table.select(["band", "nth", "rep", "root", "blk", "first", "second", "sketch"]).filter(mine)
+        return table.select(["band", "nth", "rep", "root", "blk", "first", "second", "sketch", "earlier"]).filter(mine)
 
     return run
 
 
-def _linked(need: float, rows: int, width: int, percent: int):
+def _linked(need: float, width: int, percent: int):
     """Links between components in a bucket, by full sets; components that a link has joined need no more."""
 
     def run(table):
@@ -231,7 +231,7 @@ def _linked(need: float, rows: int, width: int, percent: int):
             return v
 
         found = []
-        for i, partners in _possible(table, need, rows):
+        for i, partners in _possible(table, need):
             for j in partners:
                 a, b = top(int(root[i])), top(int(root[j]))
                 if a != b:
@@ -276,14 +276,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     roots = written(components(confirmed(tried, near, width, percent), f"{top}/stars"), f"{top}/roots")
     rooted = members.join(roots, F.col("rep") == F.col("node"), "left").select("band", "nth", "rep", "n", F.coalesce("root", "rep").alias("root"))
     split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    rest = rooted.join(split, "band", "left_semi").join(heads.select("rep", "sketch"), "rep")
+    rest = rooted.join(split, "band", "left_semi").join(heads.select("rep", "sketch", "bands"), "rep")
     rest = rest.withColumn("blocks", F.ceil(F.col("n") / bucket_block)).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")))
-    group = "band long, nth int, rep long, root long, blk long, first long, second long, sketch binary"
-    rest = rest.select("band", "nth", "rep", "root", "blk", F.least("blk", "other").alias("first"), F.greatest("blk", "other").alias("second"), "sketch")
+    group = "band long, nth int, rep long, root long, blk long, first long, second long, sketch binary, earlier array<long>"
+    rest = rest.select("band", "nth", "rep", "root", "blk", F.least("blk", "other").alias("first"), F.greatest("blk", "other").alias("second"), "sketch", F.slice("bands", 1, F.col("nth")).alias("earlier"))
     need, keys = percent / 100 - margin, ["band", "first", "second"]
-    rest = written(rest.groupBy(*keys).applyInArrow(_involved(need, rows), group), f"{top}/involved")
-    more = rest.join(near, F.col("rep") == F.col("id")).drop("id").groupBy(*keys).applyInArrow(_linked(need, rows, width, percent), "a long, b long").distinct()
+    rest = written(rest.groupBy(*keys).applyInArrow(_involved(need), group), f"{top}/involved")
+    more = rest.join(near, F.col("rep") == F.col("id")).drop("id").groupBy(*keys).applyInArrow(_linked(need, width, percent), "a long, b long").distinct()
     r = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
     more = more.join(r("a"), "a", "left").join(r("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     tops = written(components(more, f"{top}/joined").select(F.col("node").alias("mid"), F.col("root").alias("top")), f"{top}/tops")

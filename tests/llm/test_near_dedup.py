@@ -97,3 +97,29 @@ def test_awkward_tables(spark):
     out = D.without_near_duplicates(df)
     assert out.columns == df.columns
     assert {r[0] for r in out.collect()} == {1, 3, 4, 5, 6, 8, None, 10, 11, 12}
+
+
+def test_bytes_that_agree_by_chance_hide_no_pair(spark):
+    """Two linked documents whose first coordinates differ but for a byte, in a bucket whose centre is linked to neither."""
+    from pyspark.sql import functions as F
+
+    from lorewell.llm.common import word_hashes
+
+    def sketch(words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        return D.sketches(*D.shingles(*word_hashes(data, np.array([0, len(data)])), 1), 2)[0]
+
+    base = [f"base{i}" for i in range(9)]
+    plain, low = sketch(base), {}
+    for i in range(10_000):
+        s = sketch(base + [f"new{i}"])
+        if s[0] != plain[0] and s[1] == plain[1]:
+            k, first = low.setdefault(int(s[0]) & 255, (i, s[0]))
+            if first != s[0]:
+                break
+    one, two = base + [f"new{k}"], base + [f"new{i}"]
+    centre = next(w for b in base for n in range(1000) for w in [[b, f"far{n}", f"off{n}"]] if sketch(w)[1] == plain[1] and sketch(w)[0] not in (sketch(one)[0], sketch(two)[0]))
+    order = [r.id for r in spark.range(1, 4).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, " ".join(w), "s") for i, w in zip(order, (centre, one, two))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in D.near_duplicates(docs(spark, rows), width=1, rows=1, n_bands=2).collect()}
+    assert got == brute(rows, 1) and got[order[1]][1] == got[order[2]][1]
