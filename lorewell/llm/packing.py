@@ -13,6 +13,7 @@ their length, which two levels of counting give without a global sort.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import documents, pick, shared_dir, written
 
+#: Runs of blanks (Unicode's White_Space, as in the tokenizer's pattern) on which the pattern may run out of stack.
+LONG_RUN = 1 << 16
+_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_RUN)
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,6 +39,22 @@ def _encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoded(encoder, text: str) -> np.ndarray:
+    """Ids of a text, the strings of special tokens being ordinary text.
+
+    A long run of blanks is cut out as the pattern cuts it: all of it is one
+    piece, but for its last character if a word follows, which that begins with.
+    """
+    parts, at = [], 0
+    for run in _RUN.finditer(text) if len(text) >= LONG_RUN else ():
+        end = run.end() - (run.end() < len(text))
+        parts.append(encoder.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        parts.append(np.asarray(encoder._encode_single_piece(text[run.start() : end]), np.uint32))
+        at = end
+    parts.append(encoder.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
 def cuts(n: int, seq_len: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: one if it fits, else full ones with the remainder in front."""
     first = n if n <= seq_len else n % seq_len or seq_len
@@ -51,7 +72,7 @@ def tokenised(docs: DataFrame, path: str, seq_len: int, end_id: int, keep_ids: b
             cols: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                ids = np.append(np.asarray(encoder.encode_to_numpy(text, disallowed_special=()), "<u4"), np.uint32(end_id)) if text else np.array([end_id], "<u4")
+                ids = np.append(np.asarray(encoded(encoder, text), "<u4"), np.uint32(end_id)) if text else np.array([end_id], "<u4")
                 for k, (a, n) in enumerate(cuts(len(ids), seq_len)):
                     part = ids[a : a + n].astype("<u4")
                     for c, v in zip(cols, (doc, k, a, n, zlib.crc32(part.tobytes()), part.astype(np.int64).tolist() if keep_ids else None)):

@@ -77,3 +77,15 @@ def test_fillings_hold_each_piece_once():
                 used[k] += times
         assert used == +counts
         assert sum(t for _, t in plan) <= best_fit_decreasing(counts, 64) + 1
+
+
+def test_long_runs_of_blanks(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    n = 1_000_000
+    texts = [" " * n, "a" + " " * n + "b", "it's\n" + "\n" * n + "'s 1", "x \u3000" + " \t\u2003" * (n // 3) + "\x1c!", " " * 70_000 + "a" + "\xa0" * 70_000 + "\u4e2d" + " " * 65_535 + "c  "]
+    got = defaultdict(list)
+    for r in sorted(pack(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), keep_ids=True).collect(), key=lambda r: r.piece):
+        got[r.doc_id] += r.ids
+    for i, t in enumerate(texts):
+        assert got[i] == tok.encode(t, add_special_tokens=False).ids + [2]
