@@ -55,6 +55,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def numbered(df: DataFrame, path: str) -> DataFrame:
+    """df as a written table with columns c0, c1, ... and lw_row, a number of each row's own that all later reads agree on."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return written(plain.withColumn("lw_row", F.monotonically_increasing_id()), path)
+
+
 # A filter of bounded size ------------------------------------------------
 
 #: log2 of the filter's bits; 2**22 bits are at most 65,536 words of 64 bits, whatever the data.

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bit_filtered, bit_words, documents, pick, shared_dir, written
+from .common import ascii_lower, bit_filtered, bit_words, documents, numbered, pick, shared_dir, written
 
 
 def directory(histogram: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int, int]]:
@@ -53,11 +53,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id within a class are all marked alike. An empty table gives no rows.
     Extra columns are ignored.
     """
-    spark = docs.sparkSession
-    top = shared_dir(spark)
-    texts = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
+    return _classes(pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")), shared_dir(docs.sparkSession), capacity, max_depth)
+
+
+def _classes(picked: DataFrame, top: str, capacity: int = 4096, max_depth: int = 14) -> DataFrame:
+    """exact_duplicates of (doc_id, text); further columns of picked come first."""
+    spark = picked.sparkSession
+    more = [c for c in picked.columns if c not in ("doc_id", "text")]
+    texts = picked.select(*more, "doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
     texts = texts.withColumn("key", F.xxhash64("norm"))
-    entries = written(texts.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("digest")), f"{top}/entries")
+    entries = written(texts.select(*more, "doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("digest")), f"{top}/entries")
     keys = entries.groupBy("key").agg(F.count("*").alias("n"))
     prefix = F.shiftrightunsigned("key", 64 - max_depth).cast("int")
     counted = keys.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).collect()  # at most 2**max_depth rows
@@ -73,17 +78,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = entries.join(index.drop("bucket"), ["key", "digest"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        *more, "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_duplicates drops; all its columns stay. Rows need ids of their own; a row without one goes if its text has a row that stays."""
-    stay = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("lw_kept_id")).distinct()
-    own = docs.columns.index(id_col)
-    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return named.join(stay, F.col(f"c{own}").cast("long").eqNullSafe(F.col("lw_kept_id")), "left_semi").toDF(*docs.columns)
+    """docs with one row of each class of equal texts, one with the class's keep_id; all columns stay. Ids may repeat or be null."""
+    top = shared_dir(docs.sparkSession)
+    rows = numbered(docs, f"{top}/rows")
+    picked = pick(rows.toDF(*docs.columns, "lw_row"), lw_row=("lw_row", "long"), doc_id=(id_col, "long"), text=(text_col, "string"))
+    stay = _classes(picked, top).where("kept").groupBy("text_sha256").agg(F.min("lw_row").alias("lw_row")).select("lw_row")
+    return rows.join(stay, "lw_row", "left_semi").drop("lw_row").toDF(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

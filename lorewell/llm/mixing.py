@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, pick, shared_dir, written
+from .common import WORD, documents, numbered, pick, shared_dir, written
 
 EPS = 1e-9
 
@@ -111,7 +111,7 @@ def _level(seed: int, level: int, block: int):
     def run(key, table):
         import pyarrow as pa
 
-        order = np.lexsort([table[c].fill_null(-1).to_numpy() for c in ("size", "doc_id", "order")])
+        order = np.lexsort([table[c].fill_null(-1).to_numpy() for c in ("lw_row", "size", "doc_id", "order") if c in table.column_names])
         table = table.take(pa.array(order))
         rng = np.random.default_rng([seed, level, int(key[0].as_py()), int(key[1].as_py())])
         size, old, blocks = table["size"].to_numpy().astype(float), table["p"].to_numpy(), table["blocks"][0].as_py()
@@ -135,18 +135,23 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int =
     documents take part in the balance of documents and add no words. An empty
     table gives no rows.
     """
-    top = shared_dir(docs.sparkSession)
     base = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"), source=(source_col, "string"))
-    base = written(base.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), f"{top}/sizes")
+    return _times(base, shared_dir(docs.sparkSession), weights, block, seed)
+
+
+def _times(base: DataFrame, top: str, weights: tuple[int, ...] = (1, 2, 3), block: int = 1024, seed: int = 20) -> DataFrame:
+    """mixture of (doc_id, text, source); a column lw_row goes along and comes last."""
+    row = [c for c in base.columns if c == "lw_row"]
+    base = written(base.select(*row, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), f"{top}/sizes")
     targets = written(source_targets(base, weights), f"{top}/targets")
-    joined = base.join(targets, base["source"].eqNullSafe(targets["source"])).select("doc_id", "size", "source_size", "target", "rank", "n")
+    joined = base.join(targets, base["source"].eqNullSafe(targets["source"])).select(*row, "doc_id", "size", "source_size", "target", "rank", "n")
     joined = joined.withColumn("m", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     joined = joined.withColumn("whole", F.floor("m").cast("int")).withColumn("p", F.col("m") - F.col("whole"))
     joined = joined.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("blocks", F.ceil(F.col("n") / block))
     state = joined.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("blocks")))
     blocks = -(-(targets.agg(F.max("n")).first()[0] or 0) // block)  # of the source that has most
     level, decided = 0, []
-    schema = "doc_id long, size long, source_size long, target double, rank int, whole int, p double, order long, blocks long, block long"
+    schema = "doc_id long, size long, source_size long, target double, rank int, whole int, p double, order long, blocks long, block long" + "".join(f", {c} long" for c in row)
     while True:
         state = state.select(*(c.split()[0] for c in schema.split(", ")))
         state = written(state.groupBy("rank", "block").applyInArrow(_level(seed, level, block), schema), f"{top}/level{level}")
@@ -159,16 +164,17 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int =
     for more in decided[1:]:
         out = out.unionByName(more)
     times = (F.col("whole") + F.col("p")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), *row)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with each row repeated as often as the mixture takes it; all columns stay. Ids are unique."""
-    times = mixture(docs, id_col=id_col, **options).select(F.col("doc_id").alias("lw_id"), F.col("times").cast("int").alias("lw_times")).where("lw_times > 0")
-    own = docs.columns.index(id_col)
-    cols = [f"c{i}" for i in range(len(docs.columns))]
-    out = docs.toDF(*cols).join(times, F.col(f"c{own}").cast("long").eqNullSafe(F.col("lw_id")))
-    return out.withColumn("lw_times", F.explode(F.sequence(F.lit(1), "lw_times"))).select(*cols).toDF(*docs.columns)
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs with each row repeated as often as the mixture takes it; all columns stay. Ids may repeat or be null."""
+    top = shared_dir(docs.sparkSession)
+    rows = numbered(docs, f"{top}/rows")
+    base = pick(rows.toDF(*docs.columns, "lw_row"), lw_row=("lw_row", "long"), doc_id=(id_col, "long"), text=(text_col, "string"), source=(source_col, "string"))
+    times = _times(base, top, **options).select("lw_row", F.col("times").cast("int").alias("lw_times")).where("lw_times > 0")
+    out = rows.join(times, "lw_row").withColumn("lw_times", F.explode(F.sequence(F.lit(1), "lw_times")))
+    return out.drop("lw_row", "lw_times").toDF(*docs.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

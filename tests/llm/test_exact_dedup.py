@@ -39,3 +39,9 @@ def test_directory_splits_overfull_buckets_only():
     assert [(a, b) for a, b, _ in buckets] == [(0, 0), (1, 1), (2, 3), (4, 7)]
     assert directory({}, 3, 6) == [(0, 7, 0)]
     assert directory({3: 100}, 2, 1)[-1] == (3, 3, 2)  # one key's prefix can't be split further
+
+
+def test_one_row_of_each_class_stays(spark):
+    rows = [(1, "Same", "a"), (1, "same", "b"), (1, "other", "a"), (None, "no id", "a"), (None, "NO id", "b"), (None, "same", "c"), (2, None, "a"), (None, "", "a")]
+    out = without_exact_duplicates(docs(spark, rows)).collect()
+    assert sorted((folded(t), i or 0) for i, t, _ in out) == [("", 2), ("no id", 0), ("other", 1), ("same", 1)]

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -76,3 +76,10 @@ def test_mixed_repeats_rows(spark):
     for x in out.collect():
         got[x[0]] += 1
     assert got == want
+
+
+def test_mixed_rows_of_one_id_take_their_own_times(spark):
+    df = docs(spark, [(i, f"{n} " + "w " * (n % 7), s) for i, s in ((5, "a"), (None, "b")) for n in range(20)])
+    got = Counter((x.doc_id, x.text) for x in mixed(df).collect())
+    times = Counter((x.doc_id, x.size, x.times) for x in mixture(df).collect() if x.times)
+    assert max(got.values()) <= 3 and Counter((i, len(t.split()), n) for (i, t), n in got.items()) == times
