@@ -2,10 +2,10 @@
 
 Every text, lower-cased in A-Z only, has a 64-bit key. The directory starts as
 one bucket and doubles: a bucket with more distinct keys than its capacity is
-split by one more leading bit of the key, up to ``max_depth`` bits. Tasks own
-ranges of buckets; in a bucket, keys that several rows share form chains, and
-the entries of a chain are told apart by their bytes. The index (bucket, key,
-digest, row that stays, size) is written to files in the shared folder.
+split by one more leading bit of the key, up to ``max_depth`` bits. What is
+equal is decided by grouping by key and text; the directory then labels the
+groups of several rows, and the index (bucket, key, digest, row that stays,
+size) is written to files in the shared folder.
 
 Only texts whose key occurs twice can be equal, so only those are moved for
 the comparison: a bit filter of bounded size keeps the others where they are,
