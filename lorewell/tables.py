@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, set here only where it is unset."""
+    """The qualified path of a new folder under spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine is taken and set, which is
+    right only if driver and executors are one process: any other master is
+    refused with ValueError.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        top = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        top = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/lorewell-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
