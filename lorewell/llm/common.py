@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_dir, written  # noqa: F401 - the operators take them from here
+
 #: Fixed value: the characters that separate words, as a Java character class.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,21 +35,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: under spark.checkpoint.dir, set here only where it is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/lorewell-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df as a table in a shared folder: work is done once, lineage is cut, and lost executors lose nothing."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; null stays null. lower() does it for pure ASCII, at a fraction of translate()'s cost."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
