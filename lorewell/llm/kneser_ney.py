@@ -65,17 +65,23 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[first], n.astype(np.int64)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts as 32-bit numbers if all fit, else as 64-bit ones; readers tell them apart by the number of bytes."""
+    return counts.astype("<u8" if counts.max(initial=0) >> 32 else "<u4")
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys and counts in bytes: differences of the upper halves and counts compress well, lower halves don't."""
     up = np.diff(keys >> np.uint64(32), prepend=np.uint64(0)).astype("<u4")
-    return b"".join([np.array([len(keys)], "<u8").tobytes(), (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), zlib.compress(up.tobytes() + counts.astype("<u4").tobytes(), 1)])
+    return b"".join([np.array([len(keys)], "<u8").tobytes(), (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), zlib.compress(up.tobytes() + narrow(counts).tobytes(), 1)])
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(blob, "<u8", 1)[0])
     low = np.frombuffer(blob, "<u4", n, 8).astype(np.uint64)
-    rest = np.frombuffer(zlib.decompress(blob[8 + 4 * n :]), "<u4")
-    return (np.cumsum(rest[:n].astype(np.uint64)) << np.uint64(32)) | low, rest[n:].astype(np.int64)
+    rest = zlib.decompress(blob[8 + 4 * n :])
+    up = np.frombuffer(rest, "<u4", n).astype(np.uint64)
+    return (np.cumsum(up) << np.uint64(32)) | low, np.frombuffer(rest, "<u8" if len(rest) == 12 * n else "<u4", n, 4 * n).astype(np.int64)
 
 
 def _save(path: str, array: np.ndarray) -> None:
@@ -97,6 +103,11 @@ def _mapped(path: str, kind: str) -> np.ndarray:
     return _MAPPED[path]
 
 
+def _counts(path: str, n: int) -> np.ndarray:
+    """n counts, of the width that the file's size tells."""
+    return _mapped(path, "<u8" if n and os.path.getsize(path) == 8 * n else "<u4")
+
+
 def _find(paths: list[str], at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """For sorted wanted keys, of which at[r]:at[r+1] belong to file r: their places in that file, or -1."""
     out = np.full(len(wanted), -1, np.int64)
@@ -133,7 +144,7 @@ class Vocabulary:
         out = np.zeros(len(numbers), np.int64)
         at = np.searchsorted(numbers, self.starts)
         for r in np.flatnonzero(np.diff(at)):
-            out[at[r] : at[r + 1]] = _mapped(f"{self.folder}/{name}-{r}", "<u4")[numbers[at[r] : at[r + 1]] - self.starts[r]]
+            out[at[r] : at[r + 1]] = _counts(f"{self.folder}/{name}-{r}", self.sizes[r])[numbers[at[r] : at[r + 1]] - self.starts[r]]
         return out
 
 
@@ -166,7 +177,9 @@ class Model:
     before: tuple[int, int, int]  # words with 1, 2, 3 or more distinct words before them
     d_pair: tuple[float, float, float]
     d_word: tuple[float, float, float]
-    starts: list[int]  # first context of each range of pairs; the last is the begin mark's plus 1
+    keys: np.ndarray  # least key of each range of pairs; a range has whole contexts, or a part of one frequent context
+    starts: np.ndarray  # first context of each range
+    hot: dict[int, np.ndarray]  # frequent contexts: occurrences, and followers seen once, twice, more often
 
     def scored(self, hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per row of n tokens each: known tokens, base score, model score."""
@@ -191,14 +204,18 @@ class Model:
         use = np.flatnonzero(context >= 0)
         keys, inverse = np.unique((context[use].astype(np.uint64) << np.uint64(32)) | np.where(number[use] < 0, 0xFFFFFFFF, number[use]).astype(np.uint64), return_inverse=True)
         ctx = (keys >> np.uint64(32)).astype(np.int64)
-        at = np.searchsorted(ctx, self.starts)
-        files = range(len(self.starts) - 1)
-        place = _find([f"{folder}/pair-{r}" for r in files], at, keys)
-        top, share, weight = np.zeros(len(keys)), np.zeros(len(keys)), np.ones(len(keys))
+        at = np.append(np.searchsorted(keys, self.keys), len(keys))
+        place = _find([f"{folder}/pair-{r}" for r in range(len(self.starts))], at, keys)
+        share, weight = np.zeros(len(keys)), np.ones(len(keys))
         for r in np.flatnonzero(np.diff(at)):
             s = slice(at[r], at[r + 1])
-            c = np.where(place[s] >= 0, _mapped(f"{folder}/paircount-{r}", "<u4")[np.maximum(place[s], 0)], 0).astype(np.int64) if os.path.getsize(f"{folder}/paircount-{r}") else np.zeros(at[r + 1] - at[r], np.int64)
-            stats = _mapped(f"{folder}/context-{r}", "<u4").reshape(-1, 4)[ctx[s] - self.starts[r]]
+            n_pairs = os.path.getsize(f"{folder}/pair-{r}") // 8
+            c = np.where(place[s] >= 0, _counts(f"{folder}/paircount-{r}", n_pairs)[np.maximum(place[s], 0)], 0).astype(np.int64) if n_pairs else np.zeros(at[r + 1] - at[r], np.int64)
+            if int(self.starts[r]) in self.hot:
+                stats = np.broadcast_to(self.hot[int(self.starts[r])], (len(c), 4))
+            else:
+                width = (int(self.starts[r + 1]) if r + 1 < len(self.starts) else v.size + 1) - int(self.starts[r])
+                stats = _counts(f"{folder}/context-{r}", 4 * width).reshape(-1, 4)[ctx[s] - self.starts[r]].astype(np.int64)
             seen = stats[:, 0] > 0
             den = np.maximum(stats[:, 0], 1)
             share[s] = np.where(seen, _discounted(c, self.d_pair) / den, 0.0)
@@ -246,15 +263,33 @@ def _merged(table) -> tuple[np.ndarray, np.ndarray]:
     return summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
 
-def trained(texts: DataFrame, model_dir: str | None = None, most_ranges: int = 65_536) -> Model:
-    """Counts, merges and writes the model of the training texts in texts (doc_id, text)."""
+def pair_ranges(size: int, ranges: int, hot: dict[int, int], part: int) -> np.ndarray:
+    """Least keys of the ranges of pairs: ``ranges`` equal runs of contexts, each frequent context (count above part) apart and cut by its second word."""
+    limits = {(size + 1) * r // ranges << 32 for r in range(ranges)}
+    for u, n in hot.items():
+        parts = -(-n // part)
+        limits |= {(u << 32) + (size * k // parts) for k in range(parts)} | ({(u + 1) << 32} if u < size else set())
+    return np.array(sorted(limits), np.uint64)
+
+
+def trained(texts: DataFrame, model_dir: str | None = None, range_bytes: int = 1 << 26, most_ranges: int = 65_536) -> Model:
+    """Counts, merges and writes the model of the training texts in texts (doc_id, text).
+
+    There is a range of keys for each range_bytes of text, at least one for
+    each shuffle partition. A word that is the context of more pairs than an
+    average range holds has ranges of its own, so no task merges more than a
+    few times range_bytes, whatever is frequent.
+    """
     import pyarrow as pa
 
     spark = texts.sparkSession
     top = shared_dir(spark)
     folder = _local(model_dir or top) + "/kneser_ney"
     os.makedirs(folder, exist_ok=True)
-    ranges = int(min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12), most_ranges))
+    told = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    volume = (told["bytes"] or 0) + told["rows"]
+    ranges = int(min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12, -(-volume // range_bytes)), most_ranges))
+    part = max(volume // (4 * ranges), 1 << 12)  # a token takes two bytes or more, so at most 2 * ranges words are more frequent
     limits = range_limits(ranges)
 
     def count_words(batches):
@@ -264,18 +299,24 @@ def trained(texts: DataFrame, model_dir: str | None = None, most_ranges: int = 6
         r = key[0].as_py()
         words, n = _merged(table)
         _save(f"{folder}/word-{r}", words.astype("<u8"))
-        _save(f"{folder}/count-{r}", n.astype("<u4"))
-        return pa.table({"r": pa.array([r], pa.int32()), "words": [len(words)], "tokens": [int(n.sum())]})
+        _save(f"{folder}/count-{r}", narrow(n))
+        hot = np.flatnonzero(n > part)
+        return pa.table({"r": pa.array([r], pa.int32()), "words": [len(words)], "tokens": [int(n.sum())], "hot": pa.array([hot], pa.list_(pa.int64())), "n": pa.array([n[hot]], pa.list_(pa.int64()))})
 
-    found = texts.mapInArrow(count_words, "r int, blob binary").groupBy("r").applyInArrow(merge_words, "r int, words long, tokens long").collect()  # a row per range
+    found = texts.mapInArrow(count_words, "r int, blob binary").groupBy("r").applyInArrow(merge_words, "r int, words long, tokens long, hot array<long>, n array<long>").collect()  # a row per range
     sizes = {x.r: x.words for x in found}
     for r in set(range(ranges)) - set(sizes):
         for name in ("word", "count"):
             _save(f"{folder}/{name}-{r}", np.zeros(0, "<u8"))
     words = Vocabulary(folder, ranges, [sizes.get(r, 0) for r in range(ranges)], sum(x.tokens for x in found))
+    if words.size > 0xFFFFFFFE:
+        raise ValueError(f"{words.size} distinct words; the keys of pairs have room for 2**32 - 2")
     begin = words.size
-    contexts = [(begin + 1) * r // ranges for r in range(ranges + 1)]
-    key_limits = np.array(contexts[:-1], np.uint64) << np.uint64(32)
+    often = {int(words.starts[x.r]) + k: n for x in found for k, n in zip(x.hot, x.n)}
+    if told["rows"] > part:
+        often[begin] = told["rows"]
+    pair_keys = pair_ranges(begin, ranges, often, part)
+    starts = (pair_keys >> np.uint64(32)).astype(np.int64)
 
     def count_pairs(batches):
         def keys(h, n, learn):
@@ -288,36 +329,48 @@ def trained(texts: DataFrame, model_dir: str | None = None, most_ranges: int = 6
             before[np.concatenate(([0], np.cumsum(n)[:-1]))] = begin
             return (before << np.uint64(32)) | number
 
-        return _gathered(batches, key_limits, keys)
+        return _gathered(batches, pair_keys, keys)
 
     word_limits = words.starts[:-1].astype(np.uint64)
+    many = len(pair_keys)
+    width = lambda r: int((starts[r + 1] if r + 1 < many else begin + 1) - starts[r])
 
     def merge_pairs(key, table):
         r = key[0].as_py()
         pairs, n = _merged(table)
         _save(f"{folder}/pair-{r}", pairs.astype("<u8"))
-        _save(f"{folder}/paircount-{r}", n.astype("<u4"))
-        ctx = (pairs >> np.uint64(32)).astype(np.int64) - contexts[r]
-        width = contexts[r + 1] - contexts[r]
-        stats = np.column_stack([np.bincount(ctx, w, width) for w in (n, n == 1, n == 2, n > 2)])
-        _save(f"{folder}/context-{r}", np.minimum(stats, 0xFFFFFFFF).astype("<u4"))
+        _save(f"{folder}/paircount-{r}", narrow(n))
+        kinds = (n, n == 1, n == 2, n > 2)
+        if int(starts[r]) in often:
+            stats = [int(k.sum()) for k in kinds]
+        else:
+            ctx, stats = (pairs >> np.uint64(32)).astype(np.int64) - starts[r], []
+            dense = np.zeros((width(r), 4), np.int64)
+            for j, k in enumerate(kinds):
+                np.add.at(dense[:, j], ctx, k)
+            _save(f"{folder}/context-{r}", narrow(dense))
         after = _emit(word_limits, *summed(pairs & np.uint64(0xFFFFFFFF)))
         k = after.num_rows
-        return pa.table({"r": after.column(0), "blob": after.column(1), "pairs": [len(pairs)] + [0] * (k - 1), "t": pa.array([counts_of_counts(n)] + [[0, 0, 0, 0]] * (k - 1), pa.list_(pa.int64())), "own": pa.array([r] + [-1] * (k - 1), pa.int32())})
+        lists = lambda first: pa.array([first] + [[]] * (k - 1), pa.list_(pa.int64()))
+        return pa.table({"r": after.column(0), "blob": after.column(1), "pairs": [len(pairs)] + [0] * (k - 1), "t": lists(counts_of_counts(n)), "stats": lists(stats), "own": pa.array([r] + [-1] * (k - 1), pa.int32())})
 
-    pairs = texts.mapInArrow(count_pairs, "r int, blob binary").groupBy("r").applyInArrow(merge_pairs, "r int, blob binary, pairs long, t array<long>, own int")
+    pairs = texts.mapInArrow(count_pairs, "r int, blob binary").groupBy("r").applyInArrow(merge_pairs, "r int, blob binary, pairs long, t array<long>, stats array<long>, own int")
     pairs = written(pairs, f"{top}/before")
-    told = pairs.where("own >= 0").select("own", "pairs", "t").collect()  # a row per range
-    for r in set(range(ranges)) - {x.own for x in told}:
-        for name, width in (("pair", 0), ("paircount", 0), ("context", 4 * (contexts[r + 1] - contexts[r]))):
-            _save(f"{folder}/{name}-{r}", np.zeros(width, "<u4"))
+    rows = pairs.where("own >= 0").select("own", "pairs", "t", "stats").collect()  # a row per range
+    for r in set(range(many)) - {x.own for x in rows}:
+        for name, size in (("pair", 0), ("paircount", 0), ("context", 0 if int(starts[r]) in often else 4 * width(r))):
+            _save(f"{folder}/{name}-{r}", np.zeros(size, "<u4"))
+    hot = {u: np.zeros(4, np.int64) for u in often}
+    for x in rows:
+        if x.stats:
+            hot[int(starts[x.own])] += np.array(x.stats, np.int64)
 
     def merge_before(key, table):
         r = key[0].as_py()
         number, n = _merged(table)
-        dense = np.zeros(words.sizes[r], "<u4")
+        dense = np.zeros(words.sizes[r], np.int64)
         dense[number.astype(np.int64) - words.starts[r]] = n
-        _save(f"{folder}/before-{r}", dense)
+        _save(f"{folder}/before-{r}", narrow(dense))
         return pa.table({"r": pa.array([r], pa.int32()), "t": pa.array([counts_of_counts(n)], pa.list_(pa.int64())), "more": [int((n > 2).sum())]})
 
     low = pairs.select("r", "blob").groupBy("r").applyInArrow(merge_before, "r int, t array<long>, more long").collect()  # a row per range
@@ -325,7 +378,7 @@ def trained(texts: DataFrame, model_dir: str | None = None, most_ranges: int = 6
         _save(f"{folder}/before-{r}", np.zeros(words.sizes[r], "<u4"))
     add = lambda rows: [sum(x.t[k] for x in rows) for k in range(4)]
     t = add(low)
-    return Model(words, sum(x.pairs for x in told), (t[0], t[1], sum(x.more for x in low)), discounts(add(told)), discounts(t), contexts)
+    return Model(words, sum(x.pairs for x in rows), (t[0], t[1], sum(x.more for x in low)), discounts(add(rows)), discounts(t), pair_keys, starts, hot)
 
 
 def scores(docs: DataFrame, model_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lorewell.llm import kneser_ney as K
@@ -42,7 +43,30 @@ def brute(rows):
 
 
 def test_scores_match_brute_force(spark):
-    rows = ROWS + [(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 40)), "s") for i in range(100, 400)]
+    check(spark, ROWS + [(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 40)), "s") for i in range(100, 400)])
+
+
+def test_frequent_contexts_have_ranges_of_their_own(spark):
+    rows = [(i, " ".join(f"a w{(i * j) % 97} a z{j % 7}" for j in range(30)), "s") for i in range(300)]
+    model = K.trained(docs(spark, rows).select("doc_id", "text"))
+    assert model.hot and len(model.keys) > model.words.ranges
+    check(spark, rows)
+
+
+def test_counts_above_32_bits():
+    keys, n = np.array([3, 1 << 40], np.uint64), np.array([(1 << 32) + 5, 1], np.int64)
+    a, b = K._unpack(K._pack(keys, n))
+    assert a.tolist() == keys.tolist() and b.tolist() == n.tolist()
+    assert K.narrow(n).dtype == np.dtype("<u8") and K.narrow(n[1:]).dtype == np.dtype("<u4")
+
+
+def test_counts_of_either_width_are_read_back(tmp_path):
+    for name, n in (("a", [7, (1 << 33) + 1, 2]), ("b", [7, 1, 2]), ("c", [])):
+        K._save(f"{tmp_path}/{name}", K.narrow(np.array(n, np.int64)))
+        assert K._counts(f"{tmp_path}/{name}", len(n)).tolist() == n
+
+
+def check(spark, rows):
     got = K.scores(docs(spark, rows)).collect()
     key = lambda x: repr(x[:4])
     mine = sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], key=key)
