@@ -1,49 +1,67 @@
 """Operator 9: exact deduplication with an extendible-hash index on shared files.
 
-Every text, lower-cased in A-Z only, has a 64-bit key. The directory starts as
-one bucket and doubles: a bucket with more distinct keys than its capacity is
-split by one more leading bit of the key, up to ``max_depth`` bits. What is
-equal is decided by grouping by key and text; the directory then labels the
-groups of several rows, and the index (bucket, key, digest, row that stays,
-size) is written to files in the shared folder.
-
-Only texts whose key occurs twice can be equal, so only those are moved for
-the comparison: a bit filter of bounded size keeps the others where they are,
-and rows of one text are pre-aggregated before the shuffle, so a group of
-copies of any size arrives as one row from each task.
+Every text, lower-cased in A-Z only, has a 64-bit key. The index maps keys to
+chains of texts and is kept as tables in the shared folder:
+
+* ``directory``: a slot for each key prefix of ``depth`` bits, with the bucket
+  that it points to. It doubles as long as a slot holds more distinct keys
+  than a bucket's capacity; a bucket that holds few keeps a shorter prefix, and
+  several slots point to it. Only the 64 bits of a key end the doubling.
+* ``index``: the entries of all keys by owner and bucket. An owner is a range
+  of keys, the leading bits; its task has all buckets of its range. Texts of
+  one key are compared byte by byte, and those that differ are links of a chain.
+
+A row finds its class by its slot, that slot's bucket and the chain of its key
+there. Only texts whose key occurs twice can be equal, so only those are
+moved for the comparison: a filter of bounded size keeps the others where they
+are, and rows of one text are pre-aggregated before the shuffle, so a group of
+copies of any size arrives as one row from each task. Groups that hold more
+than one in ``HOT`` of all rows, fewer than ``HOT``, are looked up by a broadcast,
+so no task reads all rows of such a group.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from math import ceil, log2
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, bit_filtered, bit_words, documents, numbered, pick, shared_dir, written
 
+HOT = 10_000
+#: Bits by which the directory grows at a time, and by which it starts below the depth that an even spread would need.
+STEP, EARLY = 3, 2
+
+
+def prefix(key: str, bits: int) -> Column:
+    """The leading bits of a key as a number; 0 for no bits."""
+    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
+
 
-def directory(histogram: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int, int]]:
-    """Split one bucket into halves while it holds more than capacity keys and is fewer than depth bits deep.
+def directory(keys: DataFrame, n: int, capacity: int, path: str) -> tuple[DataFrame, int, int]:
+    """Of n distinct keys (key): the directory (slot, bucket, bits), its depth, and the depth at which it started.
 
-    histogram: keys by their leading ``depth`` bits. Returns (first prefix,
-    last prefix, bits) of each bucket, in order; at most 2**depth of them.
+    A slot's bucket is named by its first slot; bits is its local depth: the
+    shortest prefix, from the start's on, that at most capacity keys have.
+    Slots without keys are left out.
     """
-    total = np.zeros((1 << depth) + 1, np.int64)
-    for k, n in histogram.items():
-        total[k + 1] = n
-    total = np.cumsum(total)
-    todo, out = [(0, 0)], []
-    while todo:
-        at, bits = todo.pop()
-        width = 1 << (depth - bits)
-        if bits < depth and total[at + width] - total[at] > capacity:
-            todo += [(at + width // 2, bits + 1), (at, bits + 1)]
-        else:
-            out.append((at, at + width - 1, bits))
-    return out
-
-
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, max_depth: int = 14) -> DataFrame:
+    even = max(0, ceil(log2(max(n, 1) / capacity)))
+    start, depth = max(0, even - EARLY), min(64, even + STEP)
+    while True:
+        slots = written(keys.groupBy(prefix("key", depth).alias("slot")).agg(F.count("*").alias("n")), f"{path}/slots{depth}")
+        if depth == 64 or (slots.agg(F.max("n")).first()[0] or 0) <= capacity:
+            break
+        depth = min(64, depth + STEP)
+    each = slots.withColumn("bits", F.explode(F.sequence(F.lit(start), F.lit(depth))))
+    each = each.withColumn("head", F.when(F.col("bits") > 0, F.expr(f"shiftrightunsigned(slot, {depth} - bits)")).otherwise(F.lit(0)).cast("long"))
+    fits = each.groupBy("bits", "head").agg(F.sum("n").alias("held")).where((F.col("held") <= capacity) | (F.col("bits") == depth)).select("bits", "head")
+    found = each.join(fits, ["bits", "head"]).groupBy("slot").agg(F.min(F.struct("bits", "head")).alias("b"))
+    bucket = F.when(F.col("b.bits") > 0, F.expr(f"shiftleft(b.head, {depth} - b.bits)")).otherwise(F.lit(0)).cast("long")
+    return written(found.select("slot", bucket.alias("bucket"), F.col("b.bits").alias("bits")), f"{path}/directory"), depth, start
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096) -> DataFrame:
     """Each row's class of equal texts: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; a null text is
@@ -51,36 +69,41 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     never the largest, and a class of null ids only has a null keep_id. kept
     says whether doc_id is keep_id (null equals null here); rows that repeat an
     id within a class are all marked alike. An empty table gives no rows.
-    Extra columns are ignored.
+    Extra columns are ignored. capacity: distinct keys that a bucket holds.
     """
-    return _classes(pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")), shared_dir(docs.sparkSession), capacity, max_depth)
+    return _classes(pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")), shared_dir(docs.sparkSession), capacity)
 
 
-def _classes(picked: DataFrame, top: str, capacity: int = 4096, max_depth: int = 14) -> DataFrame:
+def _classes(picked: DataFrame, top: str, capacity: int = 4096) -> DataFrame:
     """exact_duplicates of (doc_id, text); further columns of picked come first."""
-    spark = picked.sparkSession
     more = [c for c in picked.columns if c not in ("doc_id", "text")]
-    texts = picked.select(*more, "doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
-    texts = texts.withColumn("key", F.xxhash64("norm"))
-    entries = written(texts.select(*more, "doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("digest")), f"{top}/entries")
-    keys = entries.groupBy("key").agg(F.count("*").alias("n"))
-    prefix = F.shiftrightunsigned("key", 64 - max_depth).cast("int")
-    counted = keys.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).collect()  # at most 2**max_depth rows
-    buckets = directory({r.prefix: r.n for r in counted}, max_depth, capacity)
-    places = spark.createDataFrame([(p, i) for i, (a, b, _) in enumerate(buckets) for p in range(a, b + 1)], "prefix int, bucket int")
-    # each prefix's bucket: at most 2**max_depth rows
-
-    shared = bit_filtered(texts, "key", bit_words(keys.where("n > 1"), "key"))
-    chained = shared.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    index = chained.select("key", F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", "group_size").withColumn("prefix", prefix)
-    index = index.join(F.broadcast(places), "prefix").select("bucket", "key", "digest", "keep_id", "group_size")
-    index = written(index.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), f"{top}/index")
-    found = entries.join(index.drop("bucket"), ["key", "digest"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select(
-        *more, "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    texts = picked.select(*more, "doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("key", F.xxhash64("norm"))
+    sha = F.unhex(F.sha2("norm", 256)).alias("digest")
+    entries = written(texts.select(*more, "doc_id", "key", sha), f"{top}/entries")
+    keys = written(entries.groupBy("key").agg(F.count("*").alias("n"), F.first("digest").alias("digest"), F.max("doc_id").alias("keep_id")), f"{top}/keys")
+    told = keys.agg(F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("n").alias("rows")).first()
+    slots, depth, start = directory(keys.select("key"), told["keys"], capacity, top)
+    owner = min(start, max(start - 6, 6))
+
+    again = keys.where("n > 1").select("key")
+    bits = min(max(ceil(log2(8 * told["repeated"] + 1)), 12), 26)  # at most 2**20 words are broadcast
+    shared = bit_filtered(texts, "key", bit_words(again, "key", bits), bits)
+    # Equal bytes meet in one group; what remains apart under one key are the links of its chain.
+    compared = shared.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    links = compared.select("key", sha, "keep_id", "group_size").join(again, "key", "left_semi")
+    links = links.unionByName(keys.where("n = 1").select("key", "digest", "keep_id", F.col("n").alias("group_size")))
+    owned = links.withColumn("slot", prefix("key", depth)).join(slots, "slot").withColumn("owner", prefix("key", owner))
+    owned = owned.repartition("owner").sortWithinPartitions("owner", "bucket", "key", "digest")
+    link = F.expr("row_number() OVER (PARTITION BY owner, bucket, key ORDER BY digest) - 1")
+    index = written(owned.withColumn("link", link).select("owner", "bucket", "key", "link", "digest", "keep_id", "group_size"), f"{top}/index")
+
+    hot = index.where(F.col("group_size") > max((told["rows"] or 0) / HOT, 1)).select("key", "digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
+    met = entries.join(F.broadcast(hot), ["key", "digest"], "left")  # fewer than HOT rows
+    walked = met.where("hot_size IS NULL").drop("hot_id", "hot_size").withColumn("slot", prefix("key", depth)).join(slots.select("slot", "bucket"), "slot")
+    walked = walked.join(index.select("bucket", "key", "digest", "keep_id", "group_size"), ["bucket", "key", "digest"])
+    cols = [*more, "doc_id", "digest", "keep_id", "group_size"]
+    found = met.where("hot_size IS NOT NULL").select(*more, "doc_id", "digest", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size")).unionByName(walked.select(*cols))
+    return found.select(*more, "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
