@@ -272,7 +272,7 @@ def pair_ranges(size: int, ranges: int, hot: dict[int, int], part: int) -> np.nd
     return np.array(sorted(limits), np.uint64)
 
 
-def trained(texts: DataFrame, model_dir: str | None = None, range_bytes: int = 1 << 26, most_ranges: int = 65_536) -> Model:
+def trained(texts: DataFrame, model_dir: str | None = None, range_bytes: int = 1 << 24, most_ranges: int = 65_536) -> Model:
     """Counts, merges and writes the model of the training texts in texts (doc_id, text).
 
     There is a range of keys for each range_bytes of text, at least one for
