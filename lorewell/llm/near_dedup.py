@@ -19,7 +19,8 @@ Links are confirmed on full sets, without making all pairs of a bucket:
    pairs of different components whose sketches leave a link possible are
    compared, each in the first bucket that it shares, until a link joins their
    components. Sketches come first, so only texts with such a partner are
-   moved. Buckets above a bound are worked on in pairs of blocks. What leaves
+   moved. Buckets above a bound of members or of shingles are worked on in
+   pairs of blocks. What leaves
    a task are links that join components, never pairs.
 
 Sketches rule a pair out if the share of equal coordinates is ``margin`` below
@@ -37,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filtered, bit_words, documents, mix, pick, shared_dir, slices, text_bytes, word_hashes, written
+from .common import bit_filtered, bit_words, documents, mix, numbered, pick, shared_dir, slices, text_bytes, word_hashes, written
 from .components import components
 
 ROUND_BITS = np.uint64(54)
@@ -218,11 +219,10 @@ def _linked(need: float, width: int, percent: int):
 
         rep, root = table["rep"].to_numpy(), table["root"].to_numpy()
         data, off = text_bytes(table["text"].combine_chunks() if table["text"].num_chunks != 1 else table["text"].chunk(0))
-        sets: list[set] = []
+        sets: list[np.ndarray] = []  # sorted, 8 bytes a shingle
         for x, y in slices(off):
             s, n = shingles(*word_hashes(data[off[x] : off[y]], off[x : y + 1] - off[x]), width)
-            at = np.concatenate(([0], np.cumsum(n)))
-            sets += [set(s[at[i] : at[i + 1]].tolist()) for i in range(y - x)]
+            sets += np.split(s, np.cumsum(n)[:-1])
         up: dict[int, int] = {}
 
         def top(v: int) -> int:
@@ -234,9 +234,10 @@ def _linked(need: float, width: int, percent: int):
         for i, partners in _possible(table, need):
             for j in partners:
                 a, b = top(int(root[i])), top(int(root[j]))
-                if a != b:
-                    both = len(sets[i] & sets[j])
-                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                small, large = sorted((len(sets[i]), len(sets[j])))
+                if a != b and 100 * small >= percent * large:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (small + large - both):
                         up[max(a, b)] = min(a, b)
                         found.append((int(rep[i]), int(rep[j])))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
@@ -244,7 +245,7 @@ def _linked(need: float, width: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 5, n_bands: int = 40, margin: float = 0.14, bucket_block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 5, n_bands: int = 40, margin: float = 0.14, bucket_block: int = 4096, block_shingles: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: near-duplicate components of whole texts.
 
     A document's set holds its distinct shingles of ``width`` words, lower-cased
@@ -262,11 +263,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     classes = linked.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, f"{top}/classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    heads = written(linked.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sketch"), f"{top}/heads")
-    members = heads.select("rep", F.posexplode("bands").alias("nth", "band"))
-    counted = members.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("center")).where("n > 1")
+    heads = written(linked.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch"), f"{top}/heads")
+    members = heads.select("rep", "n_shingles", F.posexplode("bands").alias("nth", "band"))
+    counted = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("volume"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("center")).where("n > 1")
     buckets = written(counted, f"{top}/buckets")
-    members = bit_filtered(members, "band", bit_words(buckets, "band", 24), 24).join(buckets, "band").select("band", "nth", "rep", "center", "n")
+    members = bit_filtered(members, "band", bit_words(buckets, "band", 24), 24).join(buckets, "band").select("band", "nth", "rep", "center", "n", "volume")
     members = written(members, f"{top}/members")
     ids = members.select(F.col("rep").alias("id")).distinct()
     near = bit_filtered(texts.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id"), "id", bit_words(ids, "id")).join(ids, "id", "left_semi")
@@ -274,10 +275,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
 
     tried = written(members.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), f"{top}/tried")
     roots = written(components(confirmed(tried, near, width, percent), f"{top}/stars"), f"{top}/roots")
-    rooted = members.join(roots, F.col("rep") == F.col("node"), "left").select("band", "nth", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    rooted = members.join(roots, F.col("rep") == F.col("node"), "left").select("band", "nth", "rep", "n", "volume", F.coalesce("root", "rep").alias("root"))
     split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     rest = rooted.join(split, "band", "left_semi").join(heads.select("rep", "sketch", "bands"), "rep")
-    rest = rest.withColumn("blocks", F.ceil(F.col("n") / bucket_block)).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rest = rest.withColumn("blocks", F.ceil(F.greatest(F.col("n") / bucket_block, F.col("volume") / block_shingles))).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")))
     group = "band long, nth int, rep long, root long, blk long, first long, second long, sketch binary, earlier array<long>"
     rest = rest.select("band", "nth", "rep", "root", "blk", F.least("blk", "other").alias("first"), F.greatest("blk", "other").alias("second"), "sketch", F.slice("bands", 1, F.col("nth")).alias("earlier"))
@@ -294,12 +295,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with one document, that of the smallest id, of each component; all columns stay."""
-    stay = near_duplicates(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("lw_kept_id")).distinct()
-    at = docs.columns.index(id_col)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.join(stay, F.col(f"c{at}").cast("long").eqNullSafe(F.col("lw_kept_id")), "left_semi").toDF(*docs.columns)
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row, that of the smallest id, of each component; all columns stay.
+
+    Rows are told apart by a number of their own: of rows that repeat an id or
+    have none, too, one of a component stays, and a null id goes before none.
+    """
+    top = shared_dir(docs.sparkSession)
+    rows = numbered(docs, f"{top}/rows")
+    picked = pick(rows.toDF(*docs.columns, "lw_row"), lw_row=("lw_row", "long"), doc_id=(id_col, "long"), text=(text_col, "string"))
+    found = near_duplicates(picked.select("lw_row", "text"), id_col="lw_row", **options).select(F.col("doc_id").alias("lw_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "lw_row"))["lw_row"]
+    stay = found.join(picked.select("lw_row", "doc_id"), "lw_row").groupBy("component_id").agg(first.alias("lw_row")).select("lw_row")
+    return rows.join(stay, "lw_row", "left_semi").drop("lw_row").toDF(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,8 +53,8 @@ def test_components_match_brute_force(spark):
     rows = corpus() + [x for x in ROWS if x[0] is None or x[0] not in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)] + [(9000 + i, t, s) for i, (_, t, s) in enumerate(ROWS)]
     for width in (2, 5):
         want = brute(rows, width)
-        for block in (4096, 40):
-            got = D.near_duplicates(docs(spark, rows), width=width, bucket_block=block).collect()
+        for bound in ({}, {"bucket_block": 40}, {"block_shingles": 900}) if width == 2 else ({},):
+            got = D.near_duplicates(docs(spark, rows), width=width, **bound).collect()
             assert len(got) == len(rows)
             for r in got:
                 if r.doc_id is not None:
@@ -96,7 +96,7 @@ def test_awkward_tables(spark):
     df = clashing(docs(spark))
     out = D.without_near_duplicates(df)
     assert out.columns == df.columns
-    assert {r[0] for r in out.collect()} == {1, 3, 4, 5, 6, 8, None, 10, 11, 12}
+    assert sorted(r[0] or 0 for r in out.collect()) == [0, 1, 3, 4, 5, 6, 8, 10, 11, 12]
 
 
 def test_bytes_that_agree_by_chance_hide_no_pair(spark):
