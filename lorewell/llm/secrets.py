@@ -1,7 +1,7 @@
 """Operator 3: secret scans with character Markov models, in DataFrame functions.
 
 Three patterns find credentials whose form gives them away. Beyond those, each
-long run of credential characters is scored by two first-order character
+long and varied run of credential characters is scored by two first-order character
 Markov models, one of random strings and one of ordinary identifiers, trained
 from labelled samples; runs whose log-likelihood ratio per text exceeds the
 threshold are secrets too. The models are two tables of log probabilities,
@@ -30,6 +30,10 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Candidates of the method: whole runs of at least this many characters.
 SHORTEST = 20
+#: ... with so many different ones: repeats of a few characters are no secrets, and say little to the models.
+DISTINCT = 8
+#: UUIDs are random, yet they name things: what has their form is no candidate.
+UUID = r"^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
 CANDIDATE = rf"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{{{SHORTEST},}}+"
 
 # Ordinary words from which sample identifiers are made.
@@ -62,34 +66,47 @@ ORDINARY = (
 ).split()
 
 
-def labelled_samples(n: int = 6000, seed: int = 3) -> list[tuple[str, int]]:
-    """n random strings (label 1) and n ordinary identifiers (label 0), the same at each call."""
+def labelled_samples(n: int = 8000, seed: int = 3) -> list[tuple[str, int]]:
+    """n random strings (label 1) and n ordinary ones (label 0), the same at each call.
+
+    Ordinary are identifiers of words in many styles, paths, slugs, runs of one
+    character, alphabets and keyboard rows, dates and long
+    numbers.
+    """
     r = random.Random(seed)
-    sets = [ALPHABET[:62], ALPHABET[:62], ALPHABET[:64], "0123456789abcdef", "0123456789ABCDEF", ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62]]
-    out = [("".join(r.choices(r.choice(sets), k=r.randint(SHORTEST, 64))), 1) for _ in range(n)]
+    letters, digits = ALPHABET[:52], ALPHABET[52:62]
+    sets = [ALPHABET[:62], ALPHABET[:62], ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", "0123456789abcdef", "0123456789ABCDEF", ALPHABET[26:62], ALPHABET[:26] + digits, letters]
+    heads = ("", "", "", "", "key-", "sk_live_", "sk-", "ghp_", "xoxb-", "npm_", "eyJ", "AIza", "glpat-", "tok_")
+    out = []
+    for _ in range(n):
+        s = r.choice(heads) + "".join(r.choices(r.choice(sets), k=r.randint(SHORTEST, 64)))
+        out.append((s + r.choice(("", "", "=", "==")), 1))
+    join = {0: "_", 1: "-", 2: "/", 6: ""}
     for _ in range(n):
-        words, s = [r.choice(ORDINARY) for _ in range(r.randint(2, 9))], ""
+        words = [r.choice(ORDINARY) for _ in range(r.randint(2, 9))]
         while len("".join(words)) < SHORTEST:
             words.append(r.choice(ORDINARY))
-        style = r.randrange(8)
         if r.random() < 0.3:
             words.insert(r.randrange(len(words) + 1), str(r.choice((1, 2, 3, 10, 64, 100, 2024, 1999))))
-        if style == 0:
-            s = "_".join(words)
-        elif style == 1:
-            s = "-".join(words)
-        elif style == 2:
-            s = "/".join(words)
+        style = r.randrange(13)
+        if style in join:
+            s = join[style].join(words)
         elif style == 3:
             s = words[0] + "".join(w.capitalize() for w in words[1:])
         elif style == 4:
             s = "".join(w.capitalize() for w in words)
         elif style == 5:
             s = "_".join(words).upper()
-        elif style == 6:
-            s = "".join(words)
+        elif style == 7:  # runs of one character
+            s = "".join(c * r.randint(6, 30) for c in r.choices(ALPHABET, k=r.randint(4, 8)))
+        elif style in (8, 9):
+            s = "-".join(f"{r.randint(1, 9999):0{r.choice((2, 4))}d}" for _ in range(r.randint(6, 9)))
+        elif style == 10:
+            s = "".join(r.choices(digits, k=r.randint(SHORTEST, 40)))
+        elif style == 11:  # stretches of the alphabet, the digits or a keyboard's rows
+            s = "".join(x[r.randrange(4) :] for x in r.choices(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890"), k=4))
         else:
-            s = r.choice("=-_/+x.0*").replace(".", "=").replace("*", "-") * r.randint(SHORTEST, 60)
+            s = "/".join([*words[:3], f"{words[-1]}_{r.randint(1, 99)}"]) + r.choice(("", "/", "-v2"))
         out.append((s, 0))
     return out
 
@@ -134,6 +151,10 @@ def ratio(match: Column, diff: list[float]) -> Column:
     )
 
 
+def varied(match: Column) -> Column:
+    return (F.size(F.array_distinct(F.filter(F.split(match, ""), lambda c: c != ""))) >= DISTINCT) & ~match.rlike(UUID)
+
+
 def secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, found: the array of spans (start, rank, end, kind, match) of each text, by start, then kind.
 
@@ -150,7 +171,7 @@ def secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None, id_co
         F.when(F.contains(t, F.lit("AKIA")), spans(t, ACCESS, "access", 1, lambda m: F.length(m) >= 20)).otherwise(no_spans()),
         spans(t, HEX, "hex", 2, lambda m: F.length(m) >= 24),
     )
-    df = df.select("doc_id", base.alias("base"), spans(t, CANDIDATE, "random", 3, lambda m: ratio(m, diff) > threshold).alias("random"))
+    df = df.select("doc_id", base.alias("base"), spans(t, CANDIDATE, "random", 3, lambda m: varied(m) & (ratio(m, diff) > threshold)).alias("random"))
     new = F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     return df.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", new)).alias("found"))
 

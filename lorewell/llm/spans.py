@@ -23,8 +23,21 @@ def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
+#: Matches that one fold gathers; a fold copies what it has gathered at each step.
+BLOCK = 256
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans(text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Column], Column]) -> Column:
-    """Array of matches for which keep(match) holds: start and end in code points (end exclusive), rank, kind, match."""
+    """Array of matches for which keep(match) holds: start and end in code points (end exclusive), rank, kind, match.
+
+    Places are counted within blocks of matches, and the blocks are then put
+    one after the other, so a text with very many matches is no quadratic fold.
+    """
     cut = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -38,8 +51,19 @@ def spans(text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Colu
         good = x["match"].isNotNull() & keep(F.coalesce(x["match"], F.lit("")))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(cut, start, step, lambda a: a["found"])).otherwise(no_spans())
+    empty = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
+
+    def moved(found: Column, by: Column) -> Column:
+        return F.transform(found, lambda s: F.struct((s["start"] + by).alias("start"), s["rank"].alias("rank"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["match"].alias("match")))
+
+    def joined(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["found"], F.array(moved(x["found"], acc["at"]))).alias("found"))
+
+    def blocks(c: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(c), F.lit(BLOCK)), lambda i: F.aggregate(F.slice(c, i, BLOCK), empty, step))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("found")), joined, lambda a: F.flatten(a["found"]))
+
+    return F.when(text.rlike(pattern), once(cut, blocks)).otherwise(no_spans())
 
 
 def listed(found: Column) -> Column:
