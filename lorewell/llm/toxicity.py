@@ -95,7 +95,8 @@ def trained(docs: DataFrame, labels: DataFrame, most_labels: int = 8000, most_fe
     """A model from at most most_labels labelled documents, half of them toxic if there are as many.
 
     They are those of lowest hash of the id, so the sample is the same at each
-    run; of equal texts one is used. Features are the most_features that tell
+    run; equal texts are one sample, and rows that repeat an id are samples of
+    their own. Features are the most_features that tell
     most by the likelihood-ratio statistic, among those in least_docs sample
     documents. labels: doc_id,
     toxic; null ids or labels don't count, and of labels that contradict each
@@ -109,16 +110,18 @@ def trained(docs: DataFrame, labels: DataFrame, most_labels: int = 8000, most_fe
     half = most_labels // 2
     picked = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for c in ("toxic > 0", "toxic = 0")]
     ids = written(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("l_id"), (F.col("toxic") > 0).cast("int").alias("toxic")), f"{top}/labels")  # at most most_labels rows
-    sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("doc_id", "toxic", "text").dropDuplicates(["text"])
+    sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).groupBy("text").agg(F.max("toxic").alias("toxic"))
+    sample = sample.select(F.xxhash64("text").alias("hash"), "toxic", "text")
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             found = [counted(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "f", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["hash", "toxic", "f", "n"])
 
-    bags = written(sample.mapInArrow(run, "doc_id long, toxic int, f array<string>, n array<int>"), f"{top}/bags")
+    bags = sample.mapInArrow(run, "hash long, toxic int, f array<string>, n array<int>")
+    bags = written(bags.withColumn("row", F.monotonically_increasing_id()), f"{top}/bags")  # a row for each sample, whatever its id
     sizes = {r.toxic: r.n for r in bags.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if set(sizes) != {0, 1}:
         return Model({}, [])
@@ -131,16 +134,16 @@ def trained(docs: DataFrame, labels: DataFrame, most_labels: int = 8000, most_fe
     at = {f: i for i, f in enumerate(names)}
     telling = {i for i, r in enumerate(best) if r.z > best[0].z / 10}
     lookup = docs.sparkSession.createDataFrame([(f, i) for f, i in at.items()], "f string, i int")  # at most most_features rows
-    e = bags.select("doc_id", F.explode(F.arrays_zip("f", "n")).alias("e")).select("doc_id", F.col("e.f").alias("f"), F.col("e.n").alias("n"))
-    e = e.join(F.broadcast(lookup), "f").groupBy("doc_id").agg(F.collect_list(F.struct("i", "n")).alias("e"))
-    by_id = {r.doc_id: sorted((x.i, x.n) for x in r.e) for r in e.collect()}
-    labelled = sorted((r.doc_id, r.toxic) for r in bags.select("doc_id", "toxic").collect())
-    hits = {d: sum(n for i, n in by_id.get(d, ()) if i in telling) for d, _ in labelled}
+    e = bags.select("row", F.explode(F.arrays_zip("f", "n")).alias("e")).select("row", F.col("e.f").alias("f"), F.col("e.n").alias("n"))
+    e = e.join(F.broadcast(lookup), "f").groupBy("row").agg(F.collect_list(F.struct("i", "n")).alias("e"))
+    features = {r.row: sorted((x.i, x.n) for x in r.e) for r in e.collect()}
+    labelled = [(r.row, r.toxic) for r in bags.select("row", "toxic", "hash").orderBy("hash", "row").collect()]  # at most most_labels and those that repeat an id
+    hits = {d: sum(n for i, n in features.get(d, ()) if i in telling) for d, _ in labelled}
     cuts = np.quantile([hits[d] for d, t in labelled if t], [1 / 3, 2 / 3])
     sample_rows = []
     for d, t in labelled:
         grade = 1 + int(hits[d] > cuts[0]) + int(hits[d] > cuts[1]) if t else 0
-        e = by_id.get(d, [])
+        e = features.get(d, [])
         sample_rows.append((grade, share[t] / sizes[t], [i for i, _ in e], [n for _, n in e]))
     return fitted(sample_rows, names)
 
