@@ -130,8 +130,9 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int =
 
     size counts the words of the text (null: 0); a null source is a source of
     its own, the last. No document is taken more than three times. The choice
-    depends on ids, sizes and the seed alone, so reruns agree; rows that
-    repeat an id are decided one by one, and may share their draws. Empty
+    depends on ids, texts and the seed alone, so reruns agree; rows that
+    repeat an id, or have none, are decided one by one and are dealt into
+    blocks by their texts, too. Empty
     documents take part in the balance of documents and add no words. An empty
     table gives no rows.
     """
@@ -142,13 +143,13 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int =
 def _times(base: DataFrame, top: str, weights: tuple[int, ...] = (1, 2, 3), block: int = 1024, seed: int = 20) -> DataFrame:
     """mixture of (doc_id, text, source); a column lw_row goes along and comes last."""
     row = [c for c in base.columns if c == "lw_row"]
-    base = written(base.select(*row, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), f"{top}/sizes")
+    base = written(base.select(*row, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("own")), f"{top}/sizes")
     targets = written(source_targets(base, weights), f"{top}/targets")
-    joined = base.join(targets, base["source"].eqNullSafe(targets["source"])).select(*row, "doc_id", "size", "source_size", "target", "rank", "n")
+    joined = base.join(targets, base["source"].eqNullSafe(targets["source"])).select(*row, "doc_id", "size", "own", "source_size", "target", "rank", "n")
     joined = joined.withColumn("m", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     joined = joined.withColumn("whole", F.floor("m").cast("int")).withColumn("p", F.col("m") - F.col("whole"))
-    joined = joined.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("blocks", F.ceil(F.col("n") / block))
-    state = joined.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("blocks")))
+    joined = joined.withColumn("order", F.xxhash64("own", F.lit(seed))).withColumn("blocks", F.ceil(F.col("n") / block))
+    state = joined.withColumn("block", F.pmod(F.xxhash64("own", F.lit(seed + 1)), F.col("blocks")))
     blocks = -(-(targets.agg(F.max("n")).first()[0] or 0) // block)  # of the source that has most
     level, decided = 0, []
     schema = "doc_id long, size long, source_size long, target double, rank int, whole int, p double, order long, blocks long, block long" + "".join(f", {c} long" for c in row)

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from lorewell.llm.mixing import flight, mixed, mixture, source_targets
+from lorewell.llm.mixing import flight, landing, mixed, mixture, source_targets
 
 from .cases import ROWS, clashing, docs, empty
 
@@ -41,6 +41,15 @@ def test_flight_keeps_both_totals():
         assert ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2 and q.min(initial=0) >= 0 and q.max(initial=0) <= 1
 
 
+def test_every_document_keeps_its_probability():
+    r = np.random.default_rng(1)
+    size, p, n = r.integers(1, 30, 14).astype(float), r.random(14), 3000
+    taken = sum(landing(flight(p, size, np.random.default_rng(k)), size, np.zeros(14, bool)) for k in range(n))
+    # the flight itself is unbiased; the landing moves at most two documents
+    flown = sum(flight(p, size, np.random.default_rng(k)) for k in range(n)) / n
+    assert np.abs(flown - p).max() < 5 * np.sqrt(0.25 / n) and np.abs(taken / n - p).max() < 0.2
+
+
 def many(spark, n=6000):
     r = random.Random(2)
     rows = [(i, "w " * r.choice((0, 1, 5, 30, 200)), r.choice(("a", "a", "a", "b", "c", None))) for i in range(n)]
