@@ -31,16 +31,16 @@ _RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _encoder(path: str):
+def _encoder(path: str, special: dict[str, int]):
     import public_tokenizers
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encoded(encoder, text: str) -> np.ndarray:
-    """Ids of a text, the strings of special tokens being ordinary text.
+    """Ids of a text; the strings of the encoder's special tokens are tokens, others are ordinary text.
 
     A long run of blanks is cut out as the pattern cuts it: all of it is one
     piece, but for its last character if a word follows, which that begins with.
@@ -48,10 +48,10 @@ def encoded(encoder, text: str) -> np.ndarray:
     parts, at = [], 0
     for run in _RUN.finditer(text) if len(text) >= LONG_RUN else ():
         end = run.end() - (run.end() < len(text))
-        parts.append(encoder.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        parts.append(encoder.encode_to_numpy(text[at : run.start()], allowed_special="all"))
         parts.append(np.asarray(encoder._encode_single_piece(text[run.start() : end]), np.uint32))
         at = end
-    parts.append(encoder.encode_to_numpy(text[at:], disallowed_special=()))
+    parts.append(encoder.encode_to_numpy(text[at:], allowed_special="all"))
     return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
@@ -61,13 +61,13 @@ def cuts(n: int, seq_len: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, seq_len) for s in range(first, n, seq_len)]
 
 
-def tokenised(docs: DataFrame, path: str, seq_len: int, end_id: int, keep_ids: bool = False) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, seq_len: int, end_id: int, keep_ids: bool = False, special: dict[str, int] | None = None) -> DataFrame:
     """Pieces of every document, with the checksum of their ids or, if asked for, the ids."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        encoder = _encoder(path)
+        encoder = _encoder(path, special or {})
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -189,12 +189,15 @@ def packed(pieces: DataFrame, seq_len: int = 1024, group_pieces: int = 1_000_000
     return ranked.mapInArrow(place, ", ".join([*fields, "sequence_id long", "offset long"]))
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, special_tokens: dict[str, int] | None = None) -> DataFrame:
     """All documents in as few sequences of at most seq_len tokens as the method finds.
 
     tokenizer: a file of byte-level BPE ranks; the one given by default holds
     the vocabulary of byte_bpe_50k.json and gives its ids (the tests compare
-    them), several times as fast. A document's ids are followed by end_id;
+    them), several times as fast. As that vocabulary's description has it
+    (``encode_special_tokens = True``), the string of a special token in a text
+    is ordinary text; special_tokens names strings and ids that are tokens
+    wherever they occur, as ``{"<|endoftext|>": 50256}``. A document's ids are followed by end_id;
     null and empty texts are end_id alone. Longer documents are cut into full
     pieces, the remainder first. Returns doc_id, piece, start, length,
     ids_crc32, sequence_id, offset, and with keep_ids the ids. Rows that repeat
@@ -205,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 1024, end
 
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
     texts = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
-    pieces = tokenised(texts, path, seq_len, end_id, keep_ids)
+    pieces = tokenised(texts, path, seq_len, end_id, keep_ids, special_tokens)
     return packed(written(pieces, f"{shared_dir(docs.sparkSession)}/pieces"), seq_len)
 
 

@@ -89,3 +89,13 @@ def test_long_runs_of_blanks(spark):
         got[r.doc_id] += r.ids
     for i, t in enumerate(texts):
         assert got[i] == tok.encode(t, add_special_tokens=False).ids + [2]
+
+
+def test_strings_of_special_tokens(spark):
+    """Ordinary text as the vocabulary's description encodes them, or tokens on request."""
+    text = "hello <|endoftext|> world<|endoftext|>"
+    for special in (None, {"<|endoftext|>": 50256}):
+        tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        tok.encode_special_tokens = special is None
+        (r,) = pack(docs(spark, [(1, text, "s")]), keep_ids=True, special_tokens=special).collect()
+        assert r.ids == tok.encode(text, add_special_tokens=False).ids + [2] and (50256 in r.ids) == (special is not None)
