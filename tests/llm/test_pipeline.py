@@ -6,7 +6,7 @@ from lorewell.llm import mixing, toxicity
 from lorewell.llm.common import shared_dir, written
 from lorewell.llm.packing import cuts
 
-from .cases import docs
+from .cases import clashing, docs
 from .test_exact_dedup import folded
 from .test_near_dedup import brute, corpus
 
@@ -65,3 +65,30 @@ def test_run_is_the_stages_in_order(spark, tmp_path):
     out = P.run(spark, str(tmp_path))
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
     assert out.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Rows that repeat an id or have none, clashing names, no rows: no stage fails, copies go, all columns stay."""
+    r = random.Random(9)
+    text = lambda: " ".join(f"v{r.randrange(500)}" for _ in range(30))
+    twice = text()
+    rows = [(1, "a b c d e f", "a"), (1, "a b c d e f", "a"), (2, twice, "a"), (2, twice.upper(), "b"), (None, twice, "b"), (None, twice + " end", None), (None, None, None), (3, "", "a"), (4, text() + " Ä", "b")]
+    rows += [(10 + i, text() + (" grumbel" if i % 3 == 0 else ""), "a") for i in range(90)]
+    extra = [c for c in clashing(docs(spark, rows)).columns if c not in ("text", "source", "doc_id")]
+    spark.createDataFrame([(10 + i, 1, int(i % 3 == 0)) for i in range(60)] + [(1, None, None), (None, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, table in (("full", rows), ("none", [])):
+        clashing(docs(spark, table)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        for k, (stage, f) in enumerate(P.STAGES):
+            out = written(f(spark, now, str(tmp_path)), f"{tmp_path}/{name}{k}")
+            if stage != "packing":
+                assert out.columns == now.columns and set(extra) <= set(out.columns)
+            if stage == "near_dedup":
+                texts = [folded(x.text) for x in out.collect()]
+                assert len(set(texts)) == len(texts) and (name == "none" or sum(t.startswith(twice[:40]) for t in texts) == 1)
+                assert not table or {"", "a b c d e f"} <= set(texts)
+            if stage == "mixing":
+                times = Counter((x.doc_id, x.text) for x in out.collect())
+                assert max(times.values(), default=0) <= 3
+            now = out
+        assert (now.count() > 0) == bool(table)
