@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunk, distill, graph, lifecycle, pack, search, trace
+from .operators import chunk, distill, excerpt, graph, lifecycle, pack, search, trace
 from .plans import fixtures as X
 from .streaming import queue
 
@@ -44,11 +44,10 @@ def _any(text: str, words, whole: bool = False) -> str:
 # Documents and text ------------------------------------------------------
 
 DOCS = "SELECT doc_id AS id, text AS content, lang AS project, source AS source_path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version FROM documents"
-WIDE_SQL = "[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{20000}-\\x{2a6df}\\x{3000}-\\x{303f}\\x{ff00}-\\x{ffef}\\x{3041}-\\x{309f}\\x{30a0}-\\x{30ff}\\x{ac00}-\\x{d7af}]"
 
 
 def tokens_sql(text: str) -> str:
-    rest = f"length(regexp_replace({text}, '{WIDE_SQL}', '', 'g'))"
+    rest = f"length(regexp_replace({text}, '{T.WIDE}', '', 'g'))"
     return f"(length({text}) - {rest} + CAST(ceil({rest} / 4.0) AS BIGINT))"
 
 
@@ -64,9 +63,14 @@ def latest_version_dedup(spark, d):
     return best.select("project", "id", F.col("version").cast("long").alias("version"), "source_path")
 
 
-@query(f"SELECT lang AS project, count(*) AS n_docs, CAST(sum({tokens_sql('text')}) AS BIGINT) AS est_tokens FROM documents GROUP BY lang")
+#: Endings of which each text gets one by its id: characters in and next to the wide ranges, marks, several bytes long.
+ODD = ("\u1100\u1100\u1100\u1100", "\u2e80\u2e80", "\ufe30", "\u3131\u3131", "\u32c0", "\U00030000\U00030000", "漢字", "\uff71", "\u3042\u309e", "가\ufffd")
+
+
+@query(f"SELECT lang AS project, count(*) AS n_docs, CAST(sum({tokens_sql('t')}) AS BIGINT) AS est_tokens FROM (SELECT lang, text || list_value({_quoted(ODD)})[doc_id % {len(ODD)} + 1] AS t FROM documents) GROUP BY lang")
 def est_tokens_by_lang(spark, d):
-    return X.documents(spark, d).groupBy("project").agg(F.count("*").alias("n_docs"), F.sum(T.est_tokens(F.col("content"))).alias("est_tokens"))
+    odd = F.element_at(F.array(*map(F.lit, ODD)), (F.col("id") % len(ODD) + 1).cast("int"))
+    return X.documents(spark, d).groupBy("project").agg(F.count("*").alias("n_docs"), F.sum(T.est_tokens(F.concat("content", odd))).alias("est_tokens"))
 
 
 @query("SELECT p_partkey AS id, lower(regexp_replace(trim('  ' || upper(p_name) || '   ' || p_brand || ' '), '\\s+', ' ', 'g')) AS name FROM part")
@@ -104,9 +108,14 @@ def redact_documents(spark, d):
     return r.select("id", F.sha2("r", 256).alias("redacted_sha256"), F.contains("r", F.lit(T.MARK)).alias("changed"))
 
 
-@query()
+_MARKS = "a\ufffdé漢\U0001f600"
+
+
+@query(f"WITH t AS (SELECT doc_id AS id, left(text, CAST(985 + doc_id % 17 AS BIGINT)) || repeat('{_MARKS}', 4) AS t FROM documents), k AS (SELECT id, t, unnest(range(0, length(t) + 1)) AS n FROM t), p AS (SELECT id, max(n) AS n FROM k WHERE strlen(left(t, n)) <= 1000 GROUP BY id) SELECT id, left(t, n) AS preview, strlen(t) > 1000 AS truncated, strlen(left(t, n))::INTEGER AS n_bytes FROM t JOIN p USING (id)")
 def byte_capped_preview(spark, d):
-    value, cut = T.byte_cap(F.col("content"), 1000)
+    """Texts that end in characters of one to four bytes and real replacement marks, cut at 1000 bytes."""
+    t = F.concat(F.left("content", (F.lit(985) + F.col("id") % 17).cast("int")), F.repeat(F.lit(_MARKS), F.lit(4)))
+    value, cut = T.byte_cap(t, 1000)
     return X.documents(spark, d).select("id", value.alias("preview"), cut.alias("truncated"), F.octet_length(value).alias("n_bytes"))
 
 
@@ -228,7 +237,7 @@ def word_index_terms(spark, d):
 
 @query()
 def lexical_excerpts(spark, d):
-    return chunk.excerpts(X.documents(spark, d), _anchors())
+    return excerpt.lexical(X.documents(spark, d), _anchors())
 
 
 @query()
@@ -236,6 +245,31 @@ def chunk_paragraph_pack(spark, d):
     return chunk.chunked(X.documents(spark, d).withColumn("content", F.regexp_replace("content", r"\n", "\n\n")), 200)
 
 
+CJK_QUESTION, _LATIN, _HAN = "请问项目中宋代词人是什么?", "etaoinshrdlu", "宋代词人苏轼诗文记忆检索"
+_CJK_DOCS = f"SELECT doc_id AS id, translate(lower(text), '{_LATIN}', '{_HAN}') AS content, CASE WHEN doc_id % 9 = 0 THEN '当前' ELSE lang END AS section FROM documents"
+
+
+def _cjk_sql(k: int) -> str:
+    asked = search.focus(CJK_QUESTION)
+    grams, terms = search.trigrams(asked), excerpt.cjk_anchors(asked)
+    score = " + ".join(f"CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) > 0 THEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END * f{i} * {search.K1 + 1} / (f{i} + {search.K1} * ({1 - search.B} + {search.B} * len(w) / a))" for i in range(len(grams)))
+    f = ", ".join(f"len(list_filter(w, lambda x: x = '{g}')) AS f{i}" for i, g in enumerate(grams))
+    return f"""WITH c AS ({_CJK_DOCS}), chars AS (SELECT *, string_split(lower(content), '') AS c FROM c), words AS (SELECT *, list_transform(range(1, len(c) - 1), lambda k: c[k] || c[k + 1] || c[k + 2]) AS w FROM chars),
+freq AS (SELECT *, {f} FROM words), stats AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a, {", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(grams)))} FROM freq),
+pool AS (SELECT id, content, section, {score} AS score FROM freq, stats WHERE {" + ".join(f"f{i}" for i in range(len(grams)))} > 0 QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, id) <= {8 * k}),
+hit AS (SELECT *, list_filter([{_quoted(terms)}], lambda t: contains(content, t)) AS h FROM pool), base AS (SELECT *, coalesce(list_sum(list_transform(list_filter(h, lambda t: len(list_filter(h, lambda o: o <> t AND contains(o, t))) = 0), lambda t: length(t))), 0) AS b FROM hit),
+s AS (SELECT id, score, CAST(CASE WHEN b > 0 AND regexp_matches(lower(section), 'current state|当前') THEN b + 3 ELSE b END AS BIGINT) AS anchor FROM base)
+SELECT id, anchor, row_number() OVER (ORDER BY anchor DESC, round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= {k}"""
+
+
+@query(_cjk_sql(20))
+def cjk_search(spark, d):
+    """A Chinese question over texts whose commonest letters are put in Han characters."""
+    han = F.translate(F.lower("content"), _LATIN, _HAN)
+    docs = X.documents(spark, d).select("id", han.alias("content"), F.when(F.col("id") % 9 == 0, "当前").otherwise(F.col("project")).alias("section"))
+    return search.cjk_search(docs, CJK_QUESTION, 20).select("id", F.col("anchor").cast("long").alias("anchor"), F.col("rank").cast("long").alias("rank"))
+
+
 # Graph -------------------------------------------------------------------
 
 _SEED = "r0"
@@ -332,7 +366,7 @@ def kg_active_relations(spark, d):
     return f.join(graph.superseded_by(f), "id", "left_anti").select("id", "subject", "object")
 
 
-@query()
+@query(f"WITH f AS ({_FACTS}), o AS (SELECT subject, predicate, object, min(version) AS first FROM f GROUP BY ALL) SELECT o.subject, o.predicate, o.object, arg_min(f.object, f.version) AS superseded_by_object FROM o LEFT JOIN f ON f.subject = o.subject AND f.predicate = o.predicate AND f.object <> o.object AND f.version > o.first GROUP BY ALL")
 def kg_supersession_replay(spark, d):
     return graph.replayed_supersession(_facts(spark, d).withColumn("ord", F.col("version")))
 
@@ -381,10 +415,23 @@ def history_search(spark, d):
     return search.top(s, 20, F.desc("score"), F.col("id")).select("id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+def _named(sql: str, tag: str) -> str:
+    """A corpus's CTEs under names of their own."""
+    import re
+
+    return re.sub(r"\b(corpus|words|freq|stats|scored)\b", rf"{tag}_\1", sql)
+
+
+_EVENT_QUESTION = "k 12 and the k of 7, stupid"
+
+
+@query(f"""WITH {_named(bm25_sql(MESSAGES, 'text', _EVENT_QUESTION), 'm')}, {_named(bm25_sql(X.EVENTS_SQL, 'body', _EVENT_QUESTION), 'e')},
+both_ AS (SELECT 'message' AS pool, id::VARCHAR AS id, score FROM m_scored QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, id::VARCHAR) <= 20 UNION ALL SELECT 'event', id::VARCHAR, score FROM e_scored QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, id::VARCHAR) <= 20)
+SELECT pool, id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, pool, id) AS rank FROM both_ QUALIFY rank <= 20""")
 def history_search_merged(spark, d):
+    """The best of messages and events, each pool ranked by its own statistics."""
     m = X.messages(spark, d).withColumn("created_at", F.lit(None).cast("timestamp"))
-    return trace.search(m, X.events(spark, d), QUESTION, 20)
+    return trace.search(m, X.events(spark, d), _EVENT_QUESTION, 20).select("pool", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH m AS ({MESSAGES}) SELECT c.seq AS center_seq, m.session_id, m.seq, m.role FROM m JOIN m c ON c.session_id = m.session_id AND c.role = 'system' AND m.seq BETWEEN c.seq - 2 AND c.seq + 2")

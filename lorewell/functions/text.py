@@ -115,11 +115,16 @@ def redact(text: Column) -> Column:
 
 
 def byte_cap(text: Column, most: int = 16384) -> tuple[Column, Column]:
-    """The longest prefix of whole characters within so many UTF-8 bytes, and whether anything was cut."""
-    raw = F.substring(F.encode(text, "UTF-8"), 1, most)
-    # A cut character shows as the replacement mark at the very end; no more than one can be there.
-    cut = F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "�$", "")
+    """The longest prefix of whole characters within so many UTF-8 bytes, and whether anything was cut.
+
+    Where the cut falls is told by the last bytes before it: a leading byte
+    there says how many more belong to its character.
+    """
+    raw = F.encode(text, "UTF-8")
+    tail = F.hex(F.substring(raw, max(most - 2, 1), min(most, 3)))  # two digits for each byte
+    lone = F.when(tail.rlike("[C-F].$"), 1).when(tail.rlike("[EF].[89AB].$"), 2).when(tail.rlike("F.[89AB].[89AB].$"), 3).otherwise(0)
     over = F.octet_length(text) > most
+    cut = F.decode(F.substring(raw, F.lit(1), F.lit(most) - lone), "UTF-8")
     return F.when(over, cut).otherwise(text), F.coalesce(over, F.lit(False))
 
 
@@ -135,8 +140,19 @@ def normalize_predicate(predicate: Column, synonyms: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), name), name) if pairs else name
 
 
-#: Characters that count as one token each.
-WIDE = r"[ᄀ-ᇿ⺀-鿿가-힯豈-﫿︰-﹏＀-￯\x{20000}-\x{2ffff}\x{30000}-\x{3ffff}]"
+# Ranges of characters that count as one token each.
+WIDE_RANGES = (
+    (0x4E00, 0x9FFF),
+    (0x3400, 0x4DBF),
+    (0x20000, 0x2A6DF),
+    (0x3000, 0x303F),
+    (0xFF00, 0xFFEF),
+    (0x3041, 0x309F),
+    (0x30A0, 0x30FF),
+    (0xAC00, 0xD7AF),
+)
+#: The same as a character class, for Java's and RE2's patterns.
+WIDE = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in WIDE_RANGES) + "]"
 
 
 def est_tokens(text: Column) -> Column:

@@ -119,23 +119,28 @@ def replayed_supersession(facts: DataFrame) -> DataFrame:
 
     Asserting marks active facts of the same subject, predicate and path with
     another object and evidence of a lower version. Asserting a superseded
-    fact again doesn't revive it, yet it may still supersede others.
+    fact again doesn't revive it, yet it may still supersede others. So a fact
+    is superseded by the first assertion of another object that comes after,
+    and is newer than, some evidence of its own. For most evidence that is the
+    next assertion of another object; only where that isn't newer are all
+    later ones of the path looked at.
     """
-
-    def replay(key, pdf):
-        import pandas as pd
-
-        state: dict = {}
-        for r in pdf.sort_values("ord").itertuples(index=False):
-            own = state.setdefault(r.object, {"paths": {}, "by": None})
-            if r.path is not None and not pd.isna(r.version):
-                for obj, s in state.items():
-                    if obj != r.object and s["by"] is None and s["paths"].get(r.path, float("inf")) < r.version:
-                        s["by"] = r.object
-                own["paths"][r.path] = min(own["paths"].get(r.path, float("inf")), r.version)
-        return pd.DataFrame([(key[0], key[1], o, s["by"]) for o, s in state.items()], columns=["subject", "predicate", "object", "superseded_by_object"])
-
-    return facts.groupBy("subject", "predicate").applyInPandas(replay, "subject string, predicate string, object string, superseded_by_object string")
+    keys = ["subject", "predicate", "path"]
+    f = facts.where("path IS NOT NULL AND version IS NOT NULL").select("ord", *keys, "object", "version")
+    forward, back = Window.partitionBy(*keys).orderBy("ord"), Window.partitionBy(*keys).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.lag("object").over(forward)
+    f = f.withColumn("first", F.when(last.isNull() | (last != F.col("object")), F.struct("ord", "object", "version")))
+    f = f.withColumn("next", F.last("first", True).over(back))
+    own = Window.partitionBy(*keys, "object").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.min("version").over(own)
+    lows = f.withColumn("low", low).where((F.col("low").isNull() | (F.col("version") < F.col("low"))) & F.col("next").isNotNull())  # others are dominated by these
+    cols = ["subject", "predicate", "object"]
+    plain = lows.where("next.version > version").select(*cols, F.struct("next.ord", "next.object").alias("by"))
+    rest = lows.where("next.version <= version").select(*keys, "object", F.col("ord").alias("e_ord"), F.col("version").alias("e_version"))
+    later = f.select(*keys, F.col("ord").alias("a_ord"), F.col("object").alias("a_object"), F.col("version").alias("a_version"))
+    hard = rest.join(later, keys).where("a_ord > e_ord AND a_version > e_version AND a_object <> object").select(*cols, F.struct(F.col("a_ord").alias("ord"), F.col("a_object").alias("object")).alias("by"))
+    by = plain.unionByName(hard).groupBy(*cols).agg(F.min("by").alias("by"))
+    return facts.select(*cols).distinct().join(by, cols, "left").select(*cols, F.col("by.object").alias("superseded_by_object"))
 
 
 def composite_score(hops: Column, similarity: Column, bm25: Column, decay: float = HOP_DECAY, alpha: float = ALPHA) -> Column:

@@ -11,8 +11,9 @@ STATES = ("pending", "processing", "done", "failed")
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """id, status, error, retries of each queued item: its last entry in log (id, seq, status, error)."""
-    return log.groupBy("id").agg(F.max_by("status", "seq").alias("status"), F.max_by("error", "seq").alias("error"), F.count_if(F.col("status") == "failed").alias("retries"))
+    """id, status, error, retries of each queued item: its last entry in log (id, seq, status, error); an entry that was written twice counts once."""
+    once = log.groupBy("id", "seq").agg(F.max(F.struct("status", "error")).alias("e")).select("id", "seq", "e.status", "e.error")
+    return once.groupBy("id").agg(F.max_by("status", "seq").alias("status"), F.max_by("error", "seq").alias("error"), F.count_if(F.col("status") == "failed").alias("retries"))
 
 
 def counts(state: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
-from lorewell.operators import chunk
+from lorewell.operators import chunk, excerpt
 
 
 def one(spark, text, *cols):
@@ -70,12 +70,32 @@ def test_chunks():
     assert [t for t, _ in chunk.chunks(long, 20)] == ["(1/3)", "(2/3)", "(3/3)"]
 
 
-def test_excerpts():
+def excerpt_of(spark, text, how):
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, content string")
+    got = {r.id: r.excerpt for r in how(df).collect()}
+    assert got[2] == got[3] == ""
+    return got[1]
+
+
+def test_excerpts(spark):
     text = "a " * 2000 + "needle " + "b " * 2000
-    out = chunk.lexical_excerpt(["needle"], text)
+    of = lambda anchors, t: excerpt_of(spark, t, lambda df: excerpt.lexical(df, anchors))
+    out = of(["needle"], text)
     assert out.startswith("[excerpt]\n") and "needle" in out and len(out) < 1100
-    assert chunk.lexical_excerpt(["needle"], "short needle") == "short needle"
-    assert chunk.lexical_excerpt([], text) == text and chunk.lexical_excerpt(["zzz"], text) == text
+    assert out == "[excerpt]\n" + text[4000 - 320 : 4006 + 680].strip()
+    assert of(["needle"], "short needle") == "short needle"
+    assert of([], text) == text and of(["zzz"], text) == text
+
+
+def test_excerpt_takes_the_richest_window_then_one_that_adds(spark):
+    gap = "x " * 1000
+    text = f"Pin first {gap}pin and Needle here {gap}{gap}thread far {gap}needle again"
+    out = excerpt_of(spark, text, lambda df: excerpt.lexical(df, ["pin", "needle", "thread"]))
+    parts = out.removeprefix("[excerpt]\n").split("\n...\n")
+    assert len(parts) == 2 and "pin and Needle here" in parts[0] and "thread far" in parts[1]
+    near = "x " * 150
+    out = excerpt_of(spark, f"{gap}pin {near}{near}{near}needle {gap}{gap}", lambda df: excerpt.lexical(df, ["pin", "needle"]))
+    assert out.count("...") == 0 and "pin" in out and "needle" in out
 
 
 def test_plug_ins(spark):
@@ -92,11 +112,27 @@ def test_plug_ins(spark):
     assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in v) and len(v) == 2
 
 
-def test_cjk_excerpts():
+def test_cjk_excerpts(spark):
     filler = "无关的句子在这里。" * 80
     text = filler + "苏轼是宋代的词人。" + filler
-    out = chunk.cjk_excerpt("宋代词人", text)
+    of = lambda question, t: excerpt_of(spark, t, lambda df: excerpt.cjk(df, question))
+    out = of("宋代词人", text)
     assert out.startswith("\n\n[excerpt]\n...") and "苏轼是宋代的词人。" in out and len(out) < len(text) / 2
-    assert chunk.cjk_excerpt("宋代", "短文宋代") == "短文宋代" and chunk.cjk_excerpt("english", text) == text.strip()
-    assert "current phase" in chunk.cjk_excerpt("当前阶段是什么", filler + "The current phase is three." + filler)
-    assert chunk.cjk_anchors("苏轼词 a 宋代") == ["苏轼词", "苏轼", "轼词", "宋代"]
+    assert of("宋代", "短文宋代") == "短文宋代" and of("english", text) == text.strip()
+    assert "current phase" in of("当前阶段是什么", filler + "The current phase is three." + filler)
+    assert excerpt.cjk_anchors("苏轼词 a 宋代") == ["苏轼词", "苏轼", "轼词", "宋代"]
+
+
+def test_wide_characters_are_the_same_everywhere(spark):
+    from lorewell.functions.text import WIDE_RANGES
+
+    odd = "".join(chr(c) for a, b in WIDE_RANGES for c in (a - 1, a, b, b + 1)) + "\u1100\u2e80\ufe30\u3131\u32c0\U00030000"
+    r = one(spark, odd, T.est_tokens(F.col("t")).alias("n"))
+    assert r.n == chunk.est_tokens(odd) and one(spark, "\u1100\u2e80\ufe30\u3131", T.est_tokens(F.col("t")).alias("n")).n == 1
+
+
+def test_byte_cap_keeps_real_replacement_marks(spark):
+    for t in ("a\ufffd" * 3, "é" * 9, "\U0001f600" * 5, "漢字" * 4, "ab\ufffd\ufffd\ufffd"):
+        for n in range(1, 20):
+            value, _ = T.byte_cap(F.col("t"), n)
+            assert one(spark, t, value.alias("v")).v == t.encode()[:n].decode(errors="ignore")
