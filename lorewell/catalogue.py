@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunk, distill, excerpt, graph, lifecycle, pack, search, trace
+from .operators import chunk, distill, evaluate, excerpt, graph, ingest, lifecycle, pack, search, trace
 from .plans import fixtures as X
+from .sources import sessions
 from .streaming import queue
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -727,3 +728,302 @@ def keyword_hit_eval(spark, d):
     hit = F.forall(keys, lambda k: F.contains(F.lower("content"), k)).cast("double")
     rows = X.documents(spark, d).select("project", hit.alias("hit")).rollup("project").agg(F.grouping("project").alias("g"), F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"))
     return rows.select(F.when(F.col("g") == 1, "all").otherwise(F.col("project")).alias("category"), "n", "hit_rate")
+
+
+@query(f"WITH {_STATE}, l AS (SELECT id, max(seq) AS seq, arg_max(error, seq) AS error FROM log GROUP BY id) SELECT id, seq + 1 AS seq, 'pending' AS status, error FROM state JOIN l USING (id) WHERE status = 'failed' AND retries < 30")
+def queue_retry(spark, d):
+    """Entries that make failed items pending again; entries that are written twice count once."""
+    log = _log(spark, d)
+    return queue.reset(queue.latest(log.unionByName(log.where("status = 'failed'"))), 30)
+
+
+@query(f"WITH {_STATE}, l AS (SELECT id, max(seq) AS seq, arg_max({{'e': error}}, seq)['e'] AS error FROM log GROUP BY id) SELECT id, seq + 1 AS seq, 'processing' AS status, error FROM state JOIN l USING (id) WHERE status = 'pending' ORDER BY id LIMIT 10")
+def queue_claim(spark, d):
+    return queue.claimed(queue.latest(_log(spark, d)), 10)
+
+
+@query(f"WITH {_STATE}, l AS (SELECT id, max(seq) AS seq FROM log GROUP BY id) SELECT id, seq + 1 AS seq, CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN id % 3 = 0 THEN 'no' END AS error FROM state JOIN l USING (id) WHERE status = 'processing'")
+def queue_mark(spark, d):
+    """Entries for finished work, every third item failed."""
+    state = queue.latest(_log(spark, d))
+    return queue.marked(state, state.where("status = 'processing'").select("id", F.when(F.col("id") % 3 == 0, "no").alias("error")))
+
+
+@query(f"WITH {_STATE}, l AS (SELECT id, max(seq) AS seq FROM log GROUP BY id) SELECT id, seq + 1 AS seq, 'pending' AS status, NULL::VARCHAR AS error FROM state JOIN l USING (id) WHERE status = 'processing'")
+def queue_recovery(spark, d):
+    return queue.recovered(queue.latest(_log(spark, d)))
+
+
+@query(f"WITH {_STATE}, l AS (SELECT id, max(seq) AS seq FROM log GROUP BY id) SELECT id, seq, retries FROM state JOIN l USING (id) WHERE status = 'failed' ORDER BY seq DESC, id DESC LIMIT 5")
+def queue_recent_failures(spark, d):
+    return queue.recent_failures(queue.latest(_log(spark, d))).select("id", "seq", "retries")
+
+
+@query(f"WITH {_STATE} SELECT count(*) AS n FROM state WHERE status IN ('pending', 'processing')")
+def queue_pending(spark, d):
+    return queue.pending(queue.latest(_log(spark, d))).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, round(avg(CASE WHEN ((doc_id % 10) / 10.0 >= 0.5) = (quality = 1) THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM labels")
+def comparator_agreement(spark, d):
+    cases = X.table(spark, d, "labels").select(((F.col("doc_id") % 10) / 10.0).alias("score"), (F.col("quality") == 1).alias("human_keeps"))
+    return evaluate.agreement(cases).select("n", F.round("agreement", 6).alias("agreement"))
+
+
+@query(f"WITH {_TRIAGE}, g AS (SELECT should_extract AS p, (CAST(split_part(trace_id, ':msg:', 2) AS BIGINT) + CAST(regexp_extract(trace_id, '(\\d+)', 1) AS BIGINT)) % {len(LEADS)} NOT IN (0, 7) AS g, unit_type, hint FROM triaged) SELECT round(count(*) FILTER (p AND g) / count(*) FILTER (p), 6) AS precision, round(count(*) FILTER (p AND g) / count(*) FILTER (g), 6) AS recall, round(count(*) FILTER (p AND g AND unit_type = 'decision') / count(*) FILTER (p AND g), 6) AS type_accuracy, round(1 - count(DISTINCT lower(hint)) FILTER (p) / count(*) FILTER (p), 6) AS duplicate_rate FROM g")
+def triage_gate_metrics(spark, d):
+    """The triage's own gate against what was put before each message."""
+    t = L.triage(_traces(spark, d))
+    k = (F.substring_index("trace_id", ":msg:", -1).cast("long") + F.regexp_extract("trace_id", r"(\d+)", 1).cast("long")) % len(LEADS)
+    rows = t.select(F.col("should_extract").alias("predicted"), (~k.isin(0, 7)).alias("gold"), F.col("unit_type").alias("predicted_type"), F.lit("decision").alias("gold_type"), F.col("hint").alias("title"))
+    return evaluate.gate_metrics(rows).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "type_accuracy", "duplicate_rate")])
+
+
+# Tables of the memory ----------------------------------------------------
+
+
+@query(f"WITH {bm25_sql(DOCS)} SELECT id, round(score, 6) AS score FROM scored")
+def bm25_indexed(spark, d):
+    """The scores of bm25_scores from a written index."""
+    from .tables import shared_dir
+
+    index = search.Index.build(X.documents(spark, d), shared_dir(spark))
+    return index.scored(search.phrases(QUESTION)).select("id", F.round("score", 6).alias("score"))
+
+
+def _wanted(u: DataFrame) -> DataFrame:
+    to = F.when(F.col("id") % 5 == 0, "archived").when((F.col("id") % 7 == 0) & (F.col("id") > 1), "superseded")
+    return u.select("id", F.lit("active_unit").alias("from_status"), to.alias("to_status"), F.when(to == "superseded", F.col("id") - 1).alias("superseded_by")).where("to_status IS NOT NULL")
+
+
+@query(f"WITH {_UNITS}, w AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'archived' ELSE 'superseded' END AS to_status FROM units WHERE id % 5 = 0 OR id % 7 = 0) SELECT row_number() OVER (ORDER BY id) AS log_id, id, 'active_unit' AS from_status, to_status, 'test' AS command, CASE WHEN to_status = 'superseded' THEN id - 1 END AS superseded_by FROM w")
+def transition_log(spark, d):
+    """The log of a batch of transitions, each compared with the status it expects."""
+    from .tables import shared_dir, written
+
+    u = written(_units(spark, d), f"{shared_dir(spark)}/units")
+    return L.transitions(u, _wanted(u), "test")[1].select("log_id", "id", "from_status", "to_status", "command", "superseded_by")
+
+
+@query(f"WITH {_UNITS} SELECT id, CASE WHEN id % 5 = 0 THEN 'archived' WHEN id % 7 = 0 THEN 'superseded' ELSE 'active_unit' END AS status, CASE WHEN id % 5 <> 0 AND id % 7 = 0 THEN id - 1 END AS superseded_by FROM units")
+def transition_batch(spark, d):
+    from .tables import shared_dir, written
+
+    u = written(_units(spark, d), f"{shared_dir(spark)}/units")
+    return L.transitions(u, _wanted(u), "test")[0].select("id", "status", "superseded_by")
+
+
+@query(f"WITH {_UNITS} SELECT id, CASE WHEN id % 2 = 0 THEN 'crystal' ELSE 'active_unit' END AS status FROM units WHERE id % 5 = 0")
+def restore(spark, d):
+    """Archived units at the status that the latest of their log rows tells; a unit without one is active."""
+    u = _units(spark, d).withColumn("status", F.when(F.col("id") % 5 == 0, "archived").otherwise(F.col("status")))
+    log = u.where("id % 2 = 0").select(F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "id")
+    log = log.select((F.col("id") * 2 + F.col("k")).alias("log_id"), "id", F.when(F.col("k") == 2, "crystal").otherwise("unit_candidate").alias("from_status"), F.lit("archived").alias("to_status"))
+    return L.restored(u, log)
+
+
+@query(f"WITH {_TRIAGE} SELECT trace_kind, trace_id, reason FROM triaged WHERE should_extract AND CAST(split_part(trace_id, ':msg:', 2) AS BIGINT) % 2 = 1")
+def pending_triage(spark, d):
+    """Triage rows that are still to be extracted after those of even turns are consumed; triaging again changes nothing."""
+    rows = L.triage_records(L.triage(_traces(spark, d)))
+    table = L.consumed(rows, rows.where(F.substring_index("trace_id", ":msg:", -1).cast("long") % 2 == 0))
+    return L.pending_triage(L.triage_upserted(table, rows)).select("trace_kind", "trace_id", "reason")
+
+
+@query(f"WITH {_UNITS} SELECT 'duplicate title also used by ' || f AS reason, count(*) AS n FROM (SELECT id, min(id) OVER (PARTITION BY project) AS f FROM units WHERE id % 10 = 0) WHERE f < id GROUP BY 1")
+def rejections_by_reason(spark, d):
+    """What the validator rejects if every tenth unit has the same title."""
+    u = _units(spark, d).withColumn("title", F.when(F.col("id") % 10 == 0, "Same title").otherwise(F.col("title")))
+    return L.rejections(L.issues(u))
+
+
+@query(f"WITH {_UNITS} SELECT id, title FROM units WHERE project = 'p1' ORDER BY id DESC LIMIT 50")
+def unit_list(spark, d):
+    return L.scan(_units(spark, d), "list", "p1", limit=50).select("id", "title")
+
+
+@query(f"WITH {_UNITS} SELECT id FROM units WHERE id % 4 <> 0 AND id % 3 <> 1 ORDER BY id LIMIT 100")
+def unit_scan_since(spark, d):
+    """Units to consolidate that have changed since a moment: the time of the making counts where there is no other."""
+    u = _units(spark, d).withColumn("status", F.when(F.col("id") % 4 == 0, "archived").otherwise(F.col("status")))
+    u = u.withColumn("created_at", F.when(F.col("id") % 3 == 1, "2024-01-01").otherwise("2024-05-01")).withColumn("updated_at", F.when(F.col("id") % 3 == 2, "2024-05-02"))
+    return L.scan(u, "consolidate", since="2024-03-01", limit=100).select("id")
+
+
+@query(f"WITH {_UNITS} SELECT id FROM units WHERE unit_type IN ('procedure', 'learning') AND id % 6 <> 0")
+def unit_scan_distill(spark, d):
+    u = _units(spark, d).withColumn("superseded_by", F.when(F.col("id") % 6 == 0, 1))
+    return L.scan(u, "distill").select("id")
+
+
+@query(f"WITH {_TRIAGE} SELECT trace_id, role, sha256(text) AS digest FROM triaged WHERE should_extract")
+def trace_text(spark, d):
+    """The texts of triaged traces, fetched by kind and id from messages and events together."""
+    t = _traces(spark, d)
+    rows = L.triage_records(L.triage(t)).where("should_extract").select("trace_kind", "trace_id")
+    both = t.select("trace_kind", "trace_id", "role", "text").unionByName(trace.trace_union(X.messages(spark, d), X.events(spark, d)).where("trace_kind = 'event'").select("trace_kind", "trace_id", "role", "text"))
+    return both.join(rows, ["trace_kind", "trace_id"], "left_semi").select("trace_id", "role", F.sha2("text", 256).alias("digest"))
+
+
+@query(f"WITH n AS ({X.NODES_SQL}), a AS (SELECT lower(canonical_name) AS alias, min(id) AS entity_id FROM n GROUP BY 1) SELECT c_custkey AS id, entity_id FROM customer LEFT JOIN a ON a.alias = CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) ELSE 'nobody' END")
+def alias_lookup(spark, d):
+    """Names in other case and spacing, and names that no one has."""
+    aliases = X.nodes(spark, d).groupBy(F.col("canonical_name").alias("alias")).agg(F.min("id").alias("entity_id"))
+    names = X.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("  "), F.upper("c_name"), F.lit(" "))).otherwise("nobody").alias("name"))
+    return graph.by_alias(names, aliases).select("id", "entity_id")
+
+
+@query(f"WITH {_EVID} SELECT relation_id, doc_id FROM ev JOIN documents USING (doc_id) WHERE lang = 'en'")
+def evidence_of_project(spark, d):
+    rel, ev = _evidence(spark, d)
+    return graph.evidence_of(rel, ev, X.documents(spark, d), "en").select("relation_id", "doc_id")
+
+
+@query(f"WITH {_EVID}, two AS (FROM ev UNION ALL SELECT relation_id, doc_id // 2 FROM ev) SELECT relation_id, max('2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0')) AS best_date FROM two JOIN documents USING (doc_id) GROUP BY relation_id")
+def best_doc_dates(spark, d):
+    rel, ev = _evidence(spark, d)
+    ev = ev.unionByName(ev.select("relation_id", F.floor(F.col("doc_id") / 2).alias("doc_id")))
+    docs = X.documents(spark, d).withColumn("doc_date", F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")))
+    return graph.best_dates(graph.evidence_of(rel, ev, docs))
+
+
+_NEAR = f"""{_BFS}, {_EVID}, met AS (SELECT rel.*, least(a.depth, b.depth) AS hops FROM rel LEFT JOIN depths a ON a.id = rel.source LEFT JOIN depths b ON b.id = rel.target WHERE least(a.depth, b.depth) < 3)"""
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, {bm25_sql(DOCS)}, s AS (SELECT met.id, hops, max(coalesce(score, 0)) AS b FROM met JOIN ev ON ev.relation_id = met.id JOIN documents ON documents.doc_id = ev.doc_id LEFT JOIN scored ON scored.id = ev.doc_id GROUP BY ALL),
+m AS (SELECT id, hops, CASE WHEN max(b) OVER () > min(b) OVER () THEN (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) ELSE 0 END AS bm25, CASE WHEN id % 3 = 0 THEN 0 WHEN id % 3 = 1 THEN 1.0 ELSE 0.5 END AS similarity FROM s)
+SELECT id, hops, round(bm25, 6) AS bm25, round(pow(0.7, hops) * (0.6 * similarity + 0.4 * bm25), 6) AS score FROM m""")
+def scored_triples(spark, d):
+    """Relations around a seed with hops of the traversal, similarity of their vectors, BM25 of their evidence, and the score of all three."""
+    rel, ev = _evidence(spark, d)
+    vector = F.when(F.col("id") % 3 == 1, F.array(F.lit(2.0), F.lit(0.0))).when(F.col("id") % 3 == 2, F.array(F.lit(0.0), F.lit(1.0)))
+    rel = rel.withColumn("embedding", vector)
+    docs = X.documents(spark, d)
+    bm = search.bm25(docs, search.phrases(QUESTION)).select(F.col("id").alias("doc_id"), "score")
+    s = graph.scored(rel, graph.traverse(X.edges(spark, d), _seeds(spark), 3), graph.evidence_of(rel, ev, docs), bm, [1.0, 0.0], 3)
+    return s.select("id", "hops", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
+
+
+@query("""SELECT event_id AS id, '{"source_ref": "/logs/u' || user_id || '.jsonl", "external_id": "' || event_type || '\\"' || event_id || '"' || CASE WHEN event_id % 2 = 0 THEN ', "ordinal": ' || (event_id % 5) ELSE '' END || '}' AS locator FROM events""")
+def payload_locators(spark, d):
+    e = X.table(spark, d, "events")
+    own = F.concat("event_type", F.lit('"'), F.col("event_id").cast("string"))
+    at = T.payload_locator(F.concat(F.lit("/logs/u"), F.col("user_id").cast("string"), F.lit(".jsonl")), own, F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 5))
+    return e.select(F.col("event_id").alias("id"), at.alias("locator"))
+
+
+@query("SELECT doc_id::VARCHAR AS path, length(text) AS size FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 7 = 0")
+def changed_files(spark, d):
+    """Files whose size or time isn't the one on record; a third is on record, some of them with another size."""
+    t = F.lit(AS_OF).cast("timestamp")
+    files = X.documents(spark, d).select(F.col("id").cast("string").alias("path"), t.alias("mtime"), F.length("content").cast("long").alias("size"))
+    known = files.where(F.col("path").cast("long") % 3 == 0).withColumn("size", F.col("size") + F.when(F.col("path").cast("long") % 7 == 0, 1).otherwise(0))
+    return sessions.changed(files, known).select("path", "size")
+
+
+@query(f"WITH {_UNITS} SELECT id, CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS recall_count, CASE WHEN id % 3 = 0 THEN '2024-06-01' END AS last_recalled_at FROM units")
+def recall_bookkeeping(spark, d):
+    u = _units(spark, d).withColumn("recall_count", F.lit(1)).withColumn("last_recalled_at", F.lit(None).cast("string"))
+    return ingest.recalled(u, u.where("id % 3 = 0").select("id"), "2024-06-01").select("id", "recall_count", "last_recalled_at")
+
+
+@query(f"WITH {_UNITS} SELECT id, round(CASE WHEN id % 4 = 0 THEN greatest(confidence, least(0.95, confidence + 0.05 * 2)) ELSE confidence END, 6) AS confidence FROM units")
+def attached_sources(spark, d):
+    """Two new sources for every fourth unit, and for every second one more message of the session that it has."""
+    u = _units(spark, d)
+    s = u.select(F.col("id").alias("unit_id"), F.explode("sources").alias("s")).select("unit_id", "s.source_kind", "s.source_ref")
+    doc = lambda n: u.where("id % 4 = 0").select(F.col("id").alias("unit_id"), F.lit("document").alias("source_kind"), F.lit(n).alias("source_ref"))
+    same = u.where("id % 2 = 0").select(F.col("id").alias("unit_id"), F.lit("history_message").alias("source_kind"), F.concat(T.session_key(F.col("trace_id")), F.lit(":msg:999")).alias("source_ref"))
+    return ingest.attached(u, s, doc("a").unionByName(doc("b")).unionByName(same)).select("id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {_UNITS} SELECT trace_id, max(id) AS unit_id FROM units WHERE id % 5 <> 0 GROUP BY trace_id")
+def covering_units(spark, d):
+    """For each trace the unit that has it as a source, if that isn't retracted."""
+    u = _units(spark, d).withColumn("status", F.when(F.col("id") % 5 == 0, "retracted").otherwise(F.col("status")))
+    asked = _traces(spark, d).select("trace_id", F.lit("history_message").alias("source_kind"), F.col("trace_id").alias("source_ref"))
+    return L.covering(asked, u)
+
+
+@query(f"WITH {_UNITS} SELECT project, count(DISTINCT split_part(trace_id, ':msg:', 1)) AS n_sources FROM units GROUP BY project")
+def independent_sources_by_project(spark, d):
+    s = _units(spark, d).select("project", F.explode("sources").alias("s")).select("project", "s.source_kind", "s.source_ref")
+    return L.independent_sources(s, "project")
+
+
+@query(f"WITH e AS (SELECT * FROM ({X.EDGES_SQL})), o AS (SELECT *, CASE WHEN length(source) % 2 = 0 THEN 1.0 END AS v FROM e WHERE source LIKE 's%'), n AS (SELECT *, 2.0 AS v FROM e WHERE target LIKE '%1') SELECT source, predicate, target, coalesce(min(ov), min(nv)) AS v FROM (SELECT source, predicate, target, v AS ov, NULL AS nv FROM o UNION ALL SELECT source, predicate, target, NULL, v FROM n) GROUP BY ALL")
+def relation_upsert(spark, d):
+    """Relations of two batches, once each: an old vector stays, a missing one is filled in."""
+    e = X.edges(spark, d)
+    old = e.where("source LIKE 's%'").withColumn("embedding", F.when(F.length("source") % 2 == 0, F.array(F.lit(1.0))))
+    new = e.where("target LIKE '%1'").withColumn("embedding", F.array(F.lit(2.0)))
+    return ingest.relations_upserted(old, new).select("source", "predicate", "target", F.get("embedding", F.lit(0)).alias("v"))
+
+
+@query("WITH n AS (SELECT s_nationkey AS id, s_suppkey AS ord, s_name AS d FROM supplier), b AS (SELECT id, arg_max(d, length(d) * 1000000 - ord) AS d FROM n GROUP BY id) SELECT n_nationkey AS id, CASE WHEN length(b.d) > length(n_name) THEN b.d ELSE n_name END AS description FROM nation LEFT JOIN b ON b.id = n_nationkey")
+def longer_descriptions(spark, d):
+    old = X.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("description"))
+    new = X.table(spark, d, "supplier").select(F.col("s_nationkey").alias("id"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("description"))
+    return ingest.longer_descriptions(old, new)
+
+
+@query("WITH o AS (SELECT conv_id AS id, 'old' AS title, '2024-01-01' AS started_at FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id), n AS (SELECT conv_id AS id, 'new' AS title, CASE WHEN conv_id % 5 = 0 THEN '2024-02-02' END AS started_at FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id) SELECT id, CASE WHEN n.title IS NOT NULL THEN n.title ELSE o.title END AS title, coalesce(n.started_at, o.started_at) AS started_at FROM o FULL JOIN n USING (id)")
+def session_upsert(spark, d):
+    """New rows replace old ones of their id; a time that is missing in the new row stays."""
+    from .tables import upserted
+
+    c = X.table(spark, d, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    old = c.where("id % 2 = 0").select("id", F.lit("old").alias("title"), F.lit("2024-01-01").alias("started_at"))
+    new = c.where("id % 3 = 0").select("id", F.lit("new").alias("title"), F.when(F.col("id") % 5 == 0, "2024-02-02").alias("started_at"))
+    return upserted(old, new, ["id"], keep_old_if_null=["started_at"])
+
+
+@query(f"WITH {_UNITS}, {bm25_sql('SELECT id, project, title, content, context FROM units', "title || ' ' || content || ' ' || context", _UNIT_QUESTION)} SELECT id, round(score, 6) AS score FROM scored WHERE project = 'p2' ORDER BY round(score, 6) DESC, id LIMIT 20")
+def unit_search(spark, d):
+    u = _units(spark, d).withColumn("body", F.concat_ws(" ", "title", "content", "context"))
+    s = search.bm25(u, search.phrases(_UNIT_QUESTION), "body").where((F.col("project") == "p2") & F.col("status").isin(*L.LIVE))
+    return s.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+@query(f"WITH {_UNITS} SELECT id, 'unknown type' AS reason FROM units WHERE id % 3 = 0 UNION ALL SELECT id, 'unknown label' FROM units WHERE id % 4 = 0 UNION ALL SELECT id, 'empty source reference' FROM units WHERE id % 5 = 0 UNION ALL SELECT id, 'unknown status' FROM units WHERE id % 7 = 0")
+def invalid_units(spark, d):
+    bad = F.struct(F.lit("document").alias("source_kind"), F.lit(" ").alias("source_ref"), F.lit("").alias("quote"))
+    u = _units(spark, d).withColumn("unit_type", F.when(F.col("id") % 3 == 0, "thing").otherwise(F.col("unit_type"))).withColumn("labels", F.when(F.col("id") % 4 == 0, F.array(F.lit("odd"))).otherwise(F.col("labels")))
+    u = u.withColumn("sources", F.when(F.col("id") % 5 == 0, F.array(bad)).otherwise(F.col("sources"))).withColumn("status", F.when(F.col("id") % 7 == 0, "gone").otherwise(F.col("status")))
+    return L.invalid(u)
+
+
+@query(f"SELECT trace_kind, trace_id FROM (SELECT 'message' AS trace_kind, 's' || conv_id || ':msg:' || turn AS trace_id, NULL::TIMESTAMP AS created_at FROM conversations WHERE conv_id < 3 UNION ALL SELECT 'event', id::VARCHAR, created_at FROM ({X.EVENTS_SQL})) ORDER BY created_at ASC NULLS FIRST, trace_kind, trace_id LIMIT 200")
+def oldest_traces(spark, d):
+    """The traces to triage first: those without a time, then the oldest."""
+    t = trace.trace_union(X.messages(spark, d).where(F.regexp_extract("session_id", r"(\d+)", 1).cast("long") < 3), X.events(spark, d))
+    return t.orderBy(F.asc_nulls_first("created_at"), "trace_kind", "trace_id").limit(200).select("trace_kind", "trace_id")
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY id DESC) AS rank FROM ({_CJK_DOCS}) WHERE contains(content, '宋词') OR contains(content, '宋') AND false OR contains(content, '词') OR contains(content, '宋') ORDER BY id DESC LIMIT 40")
+def cjk_short_question(spark, d):
+    """Two characters make no trigram: texts that hold them, or one of them, the newest first."""
+    docs = X.documents(spark, d).select("id", F.translate(F.lower("content"), _LATIN, _HAN).alias("content"))
+    found = search.short_cjk(docs, "宋词", 5)
+    return found.select("id", F.row_number().over(Window.orderBy(F.desc("id"))).cast("long").alias("rank"))
+
+
+_GRAMS = " , ".join(f"CASE WHEN length(r) >= {k} THEN list_transform(range(1, length(r) - {k} + 2), lambda k: substr(r, k, {k})) ELSE [] END" for k in (4, 3, 2))
+
+
+@query(f"WITH t AS (SELECT id, left(content, 60) AS t FROM ({_CJK_DOCS})) SELECT id, regexp_matches(t, '[㐀-鿿]') AS has, array_to_string(list_sort(list_distinct(flatten(list_transform(regexp_extract_all(t, '[㐀-鿿]+'), lambda r: flatten([{_GRAMS}]))))), ' ') AS terms FROM t")
+def cjk_term_sets(spark, d):
+    t = F.left(F.translate(F.lower("content"), _LATIN, _HAN), F.lit(60))
+    return X.documents(spark, d).select("id", T.contains_cjk(t).alias("has"), F.array_join(F.sort_array(T.cjk_terms(t, most=10**6)), " ").alias("terms"))
+
+
+@query("SELECT o_orderkey AS id, round(CASE WHEN n <= 0 THEN c ELSE greatest(c, least(0.95, c + 0.05 * n)) END, 6) AS confidence FROM (SELECT o_orderkey, (o_orderkey % 11 - 2) AS n, (o_orderkey % 100) / 100.0::DOUBLE AS c FROM orders)")
+def evolved_confidence(spark, d):
+    o = X.table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.round(T.evolved_confidence((F.col("o_orderkey") % 100) / 100.0, F.col("o_orderkey") % 11 - 2), 6).alias("confidence"))
+
+
+@query("SELECT doc_id AS id, regexp_matches(t, '\\S') AS has FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '  ' || chr(9) || chr(10) WHEN doc_id % 3 = 1 THEN '' ELSE left(text, 3) END AS t FROM documents)")
+def strict_text(spark, d):
+    t = F.when(F.col("id") % 3 == 0, "  \t\n").when(F.col("id") % 3 == 1, "").otherwise(F.left("content", F.lit(3)))
+    return X.documents(spark, d).select("id", T.has_text(t).alias("has"))

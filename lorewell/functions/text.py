@@ -240,6 +240,30 @@ def parse_stamp(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
 
 
+def since_bound(value: str | None, as_of: str) -> str | None:
+    """The moment that a window (``30d``, ``4w``, ``12h``) before as_of, or an ISO time, stands for; ValueError for anything else."""
+    import re
+    from datetime import datetime, timedelta
+
+    if value is None:
+        return None
+    span = re.fullmatch(r"(\d+)([dwh])", value)
+    if span is None:
+        datetime.fromisoformat(value)
+        return value
+    days = timedelta(**{{"d": "days", "w": "weeks", "h": "hours"}[span[2]]: int(span[1])})
+    return (datetime.fromisoformat(as_of) - days).isoformat(timespec="seconds")
+
+
+def payload_locator(source_ref: Column, external_id: Column, ordinal: Column | None = None) -> Column:
+    """How to find a record in its log, as JSON: the log, the record's id there, and an event's number (if it has one)."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    parts = [F.lit('{"source_ref": '), quoted(source_ref), F.lit(', "external_id": '), quoted(external_id)]
+    if ordinal is not None:
+        parts.append(F.coalesce(F.concat(F.lit(', "ordinal": '), ordinal.cast("string")), F.lit("")))
+    return F.concat(*parts, F.lit("}"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors in double precision; 0 if a norm is 0, null if lengths differ."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -33,34 +33,47 @@ def nearest(queries: DataFrame, entities: DataFrame, threshold: float = DISAMBIG
     return best.select("query_id", (-F.col("b.neg")).alias("id"), F.col("b.similarity").alias("similarity"))
 
 
-def resolve(specs: DataFrame, threshold: float = DISAMBIGUATION) -> DataFrame:
+def resolve(specs: DataFrame, threshold: float = DISAMBIGUATION, known: DataFrame | None = None) -> DataFrame:
     """Find-or-create over specs (ord, name, type, embedding): each spec's leader_ord, the spec that made its entity.
 
     The first occurrence of a normalised name decides. Then, in order and type
     by type, a name joins the leader of highest cosine above the threshold, or
-    leads. Each type is worked on by itself; its leaders are kept in memory.
+    leads. known (ord, type, embedding), with numbers below all of specs, are
+    leaders from the start. A type's leaders are one matrix in memory, and a
+    name is compared with all of them in one product.
     """
     named = specs.withColumn("alias", normalize_name(F.col("name")))
-    firsts = named.groupBy("alias").agg(F.min("ord").alias("ord")).join(named.drop("alias"), "ord").select("ord", "alias", "type", "embedding")
+    firsts = named.groupBy("alias").agg(F.min("ord").alias("ord")).join(named.drop("alias"), "ord").select("ord", "alias", "type", "embedding", F.lit(False).alias("leads"))
+    if known is not None:
+        firsts = firsts.unionByName(known.select("ord", F.lit(None).cast("string").alias("alias"), "type", "embedding", F.lit(True).alias("leads")))
 
     def lead(key, pdf):
         import numpy as np
         import pandas as pd
 
         pdf = pdf.sort_values("ord")
-        leaders, vectors, out = [], [], []
-        for ord_, vec in zip(pdf["ord"], pdf["embedding"]):
+        groups: dict[int, list] = {}  # leaders by the length of their vectors: [matrix of unit vectors, how many, their numbers]
+        out = []
+        for ord_, alias, vec, leads in zip(pdf["ord"], pdf["alias"], pdf["embedding"], pdf["leads"]):
             v = None if vec is None else np.asarray(vec, float)
-            best, at = threshold, None
-            if v is not None and np.linalg.norm(v) > 0:
-                for i, (w, o) in enumerate(zip(vectors, leaders)):
-                    if w is not None and len(w) == len(v) and np.linalg.norm(w) > 0 and (c := float(v @ w / np.linalg.norm(v) / np.linalg.norm(w))) > best:
-                        best, at = c, i
-            if at is None:
-                leaders.append(ord_)
-                vectors.append(v)
-            out.append(leaders[at] if at is not None else ord_)
-        return pd.DataFrame({"alias": pdf["alias"], "leader_ord": out})
+            size = 0.0 if v is None else float(np.linalg.norm(v))
+            leader = ord_
+            if size > 0:
+                v = v / size
+                g = groups.setdefault(len(v), [np.zeros((16, len(v))), 0, []])
+                near = g[0][: g[1]] @ v
+                at = int(np.argmax(near)) if g[1] else -1
+                if not leads and at >= 0 and near[at] > threshold:
+                    leader = g[2][at]
+                else:
+                    if g[1] == len(g[0]):
+                        g[0] = np.concatenate((g[0], np.zeros_like(g[0])))
+                    g[0][g[1]] = v
+                    g[1] += 1
+                    g[2].append(ord_)
+            if not leads:
+                out.append((alias, leader))
+        return pd.DataFrame(out, columns=["alias", "leader_ord"])
 
     led = firsts.groupBy("type").applyInPandas(lead, "alias string, leader_ord long")
     return named.join(led, "alias").select("ord", "name", "type", "leader_ord")
@@ -153,6 +166,45 @@ def score_order(score: Column, hops: Column, date: Column) -> Sequence[Column]:
     return (F.desc(score), F.asc(hops), F.coalesce(F.translate(date, "0123456789", "9876543210"), F.lit("z")).asc())
 
 
+def evidence_of(relations: DataFrame, evidence: DataFrame, docs: DataFrame, project: str | None = None) -> DataFrame:
+    """(relation_id, doc_id, project, source_path, section, doc_date) of relations (id); with a project only its documents count.
+
+    A relation without any matching document has no row, so it drops out of
+    whatever is joined with this.
+    """
+    d = docs.select(F.col("id").alias("doc_id"), *[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("project", "source_path", "section", "doc_date")])
+    if project is not None:
+        d = d.where(F.col("project") == project)
+    return evidence.join(relations.select(F.col("id").alias("relation_id")), "relation_id", "left_semi").join(d, "doc_id").select("relation_id", "doc_id", "project", "source_path", "section", "doc_date")
+
+
+def best_dates(evidence: DataFrame) -> DataFrame:
+    """(relation_id, best_date): the latest date of a relation's documents; dates are text."""
+    return evidence.groupBy("relation_id").agg(F.max("doc_date").alias("best_date"))
+
+
+def scored(relations: DataFrame, depths: DataFrame, evidence: DataFrame, bm25: DataFrame, query_vector: Sequence[float] | None, max_hops: int) -> DataFrame:
+    """Relations (id, source, target, predicate, embedding) met by a traversal, with hops, similarity, bm25, best_date and score.
+
+    evidence: as from evidence_of; relations without any are left out. bm25:
+    (doc_id, score). A relation's best score is scaled over all that are met.
+    Without a query vector only BM25 counts; vectors that are missing or of
+    another length have no similarity.
+    """
+    near = triples_within(relations, depths, max_hops)
+    best = evidence.join(bm25, "doc_id", "left").groupBy("relation_id").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("b"), F.max("doc_date").alias("best_date"))
+    near = near.join(best, F.col("id") == F.col("relation_id")).drop("relation_id")
+    ends = near.agg(F.min("b").alias("lo"), F.max("b").alias("hi"))  # one row
+    near = near.crossJoin(F.broadcast(ends)).withColumn("bm25", F.when(F.col("hi") > F.col("lo"), (F.col("b") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
+    if query_vector is None:
+        near = near.withColumn("similarity", F.lit(0.0))
+    else:
+        q = F.array(*[F.lit(float(x)) for x in query_vector])
+        near = near.withColumn("similarity", F.coalesce((1 + cosine(F.col("embedding"), q)) / 2, F.lit(0.0)))
+    score = composite_score(F.col("hops"), F.col("similarity"), F.col("bm25"), alpha=0.0 if query_vector is None else ALPHA)
+    return near.withColumn("score", score).drop("b", "lo", "hi")
+
+
 def prompt_context(triples: Sequence[tuple[str, str, str]], passages: Sequence[str], most: int = 5) -> str:
     """Facts and passages as a block of text for a prompt, with fixed headings."""
     if not triples and not passages:

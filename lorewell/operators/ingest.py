@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import numbered, shared_dir, written
 from . import chunk
 
 GRAPH = (
@@ -102,6 +103,43 @@ def recalled(units: DataFrame, ids: DataFrame, at: str) -> DataFrame:
     return df.select(*[count if c == "recall_count" else when if c == "last_recalled_at" else F.col(c) for c in units.columns])
 
 
+def resolved(specs: DataFrame, entities: DataFrame, aliases: DataFrame, first_id: int, threshold: float = 0.85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new entities, new aliases, (ord, entity_id) of every spec) for specs (ord, name, type, description, embedding), ord from 1.
+
+    A name whose alias is known is that entity. Else the nearest entity of the
+    type above the threshold takes the name as a further alias, be it old or
+    one that an earlier spec has made; else the spec makes an entity.
+    """
+    from . import graph
+
+    top = shared_dir(specs.sparkSession)
+    met = written(graph.by_alias(specs, aliases), f"{top}/met")
+    open_ = met.where("entity_id IS NULL").drop("entity_id")
+    known = entities.where("embedding IS NOT NULL").select((F.col("id") - F.lit(1 << 40)).alias("ord"), "type", "embedding")  # before all specs, in order of their ids
+    led = written(graph.resolve(open_.select("ord", "name", "type", "embedding"), threshold, known), f"{top}/led")
+    makers = led.where("leader_ord > 0").select(F.col("leader_ord").alias("ord")).distinct()
+    made = numbered(open_.join(makers, "ord", "left_semi"), F.col("ord"), start=first_id - 1)
+    made = written(made.select("id", F.trim("name").alias("canonical_name"), "type", "description", "embedding", "ord"), f"{top}/made")
+    of = led.join(made.select(F.col("ord").alias("leader_ord"), "id"), "leader_ord", "left").select("ord", "name", F.when(F.col("leader_ord") > 0, F.col("id")).otherwise(F.col("leader_ord") + (1 << 40)).alias("entity_id"))
+    new_aliases = of.groupBy(T.normalize_name(F.col("name")).alias("alias")).agg(F.min("entity_id").alias("entity_id"))
+    every = met.where("entity_id IS NOT NULL").select("ord", "entity_id").unionByName(of.select("ord", "entity_id"))
+    return made.drop("ord"), new_aliases, every
+
+
+def invalid_graphs(graphs: DataFrame) -> DataFrame:
+    """(doc_id, reason) of graphs that can't be taken: no JSON object, labels or types of units outside the closed sets, nameless entities, relations without an end."""
+    from .lifecycle import ALL_LABELS, UNIT_TYPES
+
+    g = F.col("graph")
+    lacks = lambda c, *names: F.exists(c, lambda x: F.exists(F.array(*[x[n] for n in names]), lambda v: ~T.has_text(v)))
+    rows = F.array(
+        F.when(g.isNull() | (g["entities"].isNull() & g["relations"].isNull() & g["units"].isNull()), "not a graph"), F.when(lacks(g["entities"], "name"), "an entity has no name"),
+        F.when(lacks(g["relations"], "source", "target", "predicate"), "a relation has no end or predicate"), F.when(F.exists(g["units"], lambda u: ~u["unit_type"].isin(*UNIT_TYPES)), "unknown unit type"),
+        F.when(F.exists(g["units"], lambda u: F.exists(F.coalesce(u["labels"], F.array().cast("array<string>")), lambda x: ~x.isin(*ALL_LABELS))), "unknown label"),
+    )
+    return graphs.select("doc_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("reason"))
+
+
 def ingested(docs: DataFrame, extract: Callable[[str], dict]) -> tuple[dict[str, DataFrame], DataFrame]:
     """Graph tables of docs (id, content) by a pluggable extractor, and the rows it failed on."""
     got = chunk.extracted(docs, extract)

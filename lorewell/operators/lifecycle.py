@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import shared_dir, written
+from ..tables import numbered, shared_dir, upserted, written
 
 # The closed vocabularies.
 UNIT_TYPES = ("preference", "decision", "procedure", "fact", "learning", "plan", "event", "context")
 STATUSES = ("unit_candidate", "active_unit", "crystal_candidate", "crystal", "archived", "superseded", "retracted")
 LIVE = ("active_unit", "crystal_candidate", "crystal")
+SOURCE_KINDS = ("history_message", "history_event", "document", "relation", "unit", "manual")
+ALL_LABELS = ("architecture", "storage", "retrieval", "cli", "testing", "tooling", "workflow", "conventions", "dependencies", "performance", "security")
 # Signals of the triage.
 EXPLICIT = ("remember", "always", "never", "rule", "decision", "we decided", "use this going forward", "记住", "以后", "规则", "决定")
 DURABLE = ("architecture", "schema", "migration", "api contract", "cli", "storage", "retrieval", "fts", "validation gate", "架构", "迁移", "存储", "检索")
@@ -128,22 +130,108 @@ def uncovered(units: DataFrame, existing: DataFrame) -> DataFrame:
     return units.join(taken, "trace_id", "left_anti")
 
 
-def transitions(units: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The next snapshot of units after wanted (id, to_status, superseded_by) as one batch.
+def transitions(units: DataFrame, wanted: DataFrame, command: str = "", first_log_id: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The next snapshot of units after wanted (id, to_status, superseded_by) as one batch, and the rows of its log.
 
-    Raises ValueError, and changes nothing, if a unit or the one that
-    supersedes it is missing or a unit supersedes itself.
+    wanted may also hold from_status, the status that the unit is expected to
+    have, and reason. Raises ValueError, and changes nothing, if a unit or the
+    one that supersedes it is missing, a unit supersedes itself, a unit is in
+    the batch twice, or one is not in the status that was expected. The log has
+    log_id, id, from_status, to_status, command, reason, superseded_by, in
+    order of the ids; a unit that already is in the wanted status has no row.
     """
-    missing = wanted.join(units, "id", "left_anti").limit(1).count()
-    target = wanted.where("superseded_by IS NOT NULL")
-    lost = target.join(units.select(F.col("id").alias("superseded_by")), "superseded_by", "left_anti").limit(1).count()
-    own = target.where("superseded_by = id").limit(1).count()
-    if missing or lost or own:
-        raise ValueError("a unit is missing" if missing else "a superseding unit is missing" if lost else "a unit can't supersede itself")
+    for c, kind in (("from_status", "string"), ("reason", "string")):
+        if c not in wanted.columns:
+            wanted = wanted.withColumn(c, F.lit(None).cast(kind))
+    now = wanted.join(units.select("id", F.col("status").alias("now"), F.lit(True).alias("there")), "id", "left")
+    now = now.join(units.select(F.col("id").alias("superseded_by"), F.lit(True).alias("target")), "superseded_by", "left")
+    faults = now.agg(
+        F.count_if(F.col("there").isNull()).alias("missing"), F.count_if(F.col("superseded_by").isNotNull() & F.col("target").isNull()).alias("lost"), F.count_if(F.col("superseded_by") == F.col("id")).alias("own"),
+        F.count_if(F.col("from_status").isNotNull() & (F.col("from_status") != F.col("now"))).alias("moved"), (F.count("*") - F.count_distinct("id")).alias("twice"),
+    ).first()
+    for name, why in (("missing", "a unit is missing"), ("lost", "a superseding unit is missing"), ("own", "a unit can't supersede itself"), ("moved", "a unit is no longer in the status expected"), ("twice", "a unit is in the batch twice")):
+        if faults[name]:
+            raise ValueError(why)
     w = wanted.select("id", "to_status", F.col("superseded_by").alias("lw_by"))
     by = F.col("superseded_by") if "superseded_by" in units.columns else F.lit(None).cast("long")
     joined = units.join(w, "id", "left")
-    return joined.select(*[c for c in units.columns if c not in ("status", "superseded_by")], F.coalesce("to_status", "status").alias("status"), F.coalesce("lw_by", by).alias("superseded_by"))
+    after = joined.select(*[c for c in units.columns if c not in ("status", "superseded_by")], F.coalesce("to_status", "status").alias("status"), F.coalesce("lw_by", by).alias("superseded_by"))
+    log = now.where("now <> to_status").select("id", F.col("now").alias("from_status"), "to_status", F.lit(command).alias("command"), "reason", "superseded_by")
+    return after, numbered(log, F.col("id"), start=first_log_id - 1, name="log_id").select("log_id", "id", "from_status", "to_status", "command", "reason", "superseded_by")
+
+
+def covering(sources: DataFrame, units: DataFrame) -> DataFrame:
+    """(trace_id, unit_id): of sources (trace_id, source_kind, source_ref) the largest unit, not retracted, that already has one of them."""
+    own = units.where("status <> 'retracted'").select(F.col("id").alias("unit_id"), F.explode("sources").alias("s")).select("unit_id", "s.source_kind", "s.source_ref")
+    return sources.join(own, ["source_kind", "source_ref"]).groupBy("trace_id").agg(F.max("unit_id").alias("unit_id"))
+
+
+#: Version of the triage's rules, part of the key of what it found.
+GATE = "v2"
+
+
+def triage_records(triaged: DataFrame, gate: str = GATE) -> DataFrame:
+    """Rows of the triage table from triage()'s: one for each trace and version of the rules, not consumed yet."""
+    cols = ["trace_kind", "trace_id", "project", "created_at", "should_extract", "reason", "importance", "confidence", "unit_type", "temporal_type", "labels", "hint"]
+    return triaged.select(F.lit(gate).alias("gate_version"), *[F.col(c) if c in triaged.columns else F.lit(None).cast("timestamp").alias(c) for c in cols], F.lit(False).alias("consumed"))
+
+
+TRIAGE_KEY = ("trace_kind", "trace_id", "gate_version")
+
+
+def triage_upserted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The next triage table: new rows replace old ones of the same trace and rules, but what was consumed stays so."""
+    return upserted(old, new.select(*old.columns), TRIAGE_KEY, keep_old=["consumed"])
+
+
+def pending_triage(triage_table: DataFrame, project: str | None = None, gate: str = GATE, limit: int | None = None) -> DataFrame:
+    """Rows worth extracting that no one has consumed, in order of kind and trace."""
+    rows = triage_table.where(F.col("should_extract") & ~F.col("consumed") & (F.col("gate_version") == gate))
+    if project is not None:
+        rows = rows.where(F.col("project") == project)
+    return rows.orderBy("trace_kind", "trace_id").limit(limit) if limit is not None else rows
+
+
+def consumed(triage_table: DataFrame, done: DataFrame) -> DataFrame:
+    """The triage table with the rows of done (trace_kind, trace_id, gate_version) marked as consumed."""
+    hit = done.select(*TRIAGE_KEY).distinct().withColumn("lw_hit", F.lit(True))
+    return triage_table.join(hit, list(TRIAGE_KEY), "left").select(*[(F.col("consumed") | F.coalesce("lw_hit", F.lit(False))).alias(c) if c == "consumed" else F.col(c) for c in triage_table.columns])
+
+
+def rejections(found: DataFrame) -> DataFrame:
+    """(reason, n): how often the validator (issues) rejects, by reason."""
+    return found.where("rejects").groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason")
+
+
+def scan(units: DataFrame, purpose: str, project: str | None = None, since: str | None = None, limit: int | None = None) -> DataFrame:
+    """Units to list (newest first), consolidate (neither archived, superseded nor retracted, oldest first) or distill (live procedures and learnings).
+
+    since compares the time of the last change, else of the making; units
+    without either are left out then.
+    """
+    if project is not None:
+        units = units.where(F.col("project") == project)
+    if since is not None:
+        units = units.where(F.coalesce("updated_at", "created_at") >= since)
+    if purpose == "list":
+        rows = units.orderBy(F.desc("id"))
+    elif purpose == "consolidate":
+        rows = units.where(~F.col("status").isin("archived", "superseded", "retracted")).orderBy("id")
+    elif purpose == "distill":
+        rows = units.where(F.col("unit_type").isin("procedure", "learning") & F.col("status").isin(*LIVE) & F.col("superseded_by").isNull()).orderBy("id")
+    else:
+        raise ValueError(f"unknown purpose {purpose!r}")
+    return rows if limit is None else rows.limit(limit)
+
+
+def invalid(units: DataFrame) -> DataFrame:
+    """(id, reason) of units outside the closed sets: type, status, labels, kinds of sources, empty references."""
+    sets = lambda c, words: F.forall(c, lambda x: x.isin(*words))
+    rows = F.array(
+        F.when(~F.col("unit_type").isin(*UNIT_TYPES), "unknown type"), F.when(~F.col("status").isin(*STATUSES), "unknown status"), F.when(~sets("labels", ALL_LABELS), "unknown label"),
+        F.when(~sets(F.transform("sources", lambda s: s["source_kind"]), SOURCE_KINDS), "unknown source kind"), F.when(F.exists("sources", lambda s: ~T.has_text(s["source_ref"])), "empty source reference"),
+    )
+    return units.select("id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("reason"))
 
 
 def restored(units: DataFrame, log: DataFrame) -> DataFrame:
