@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..tables import shared_dir, written
+from .components import components as connected
 from .lifecycle import confirmed
 
 # Thresholds and words that name a form.
@@ -23,6 +24,7 @@ def overlap_pairs(units: DataFrame, least: float = GROUP_OVERLAP) -> DataFrame:
     n tokens that is no smaller shares one of its first n - ceil(least * n) + 1;
     full sets decide.
     """
+    units = written(units.select("id", "tokens"), f"{shared_dir(units.sparkSession)}/tokens")
     each = units.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = each.groupBy("token").agg(F.count("*").alias("df"))
     ranked = each.join(df, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
@@ -33,21 +35,10 @@ def overlap_pairs(units: DataFrame, least: float = GROUP_OVERLAP) -> DataFrame:
     return met.join(side("a"), "a").join(side("b"), "b").where(T.overlap(F.col("a_t"), F.col("b_t")) >= least).select("a", "b")
 
 
-def components(nodes: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, root): the smallest id reachable over pairs (a, b); labels go round until none changes, each round written once."""
-    top = shared_dir(nodes.sparkSession)
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{top}/pairs")
-    label = written(nodes.select("id", F.col("id").alias("root")), f"{top}/0")
-    for k in range(1, most_rounds + 1):
-        near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("near"))
-        step = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("root", F.coalesce("near", "root")).alias("root"), "root")
-        step = step.toDF("id", "root", "was")
-        jump = step.select(F.col("id").alias("j"), F.col("root").alias("up"))
-        new = written(step.join(jump, F.col("root") == F.col("j"), "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root"), "was"), f"{top}/{k}")
-        label = new.select("id", "root")
-        if new.where("root <> was").isEmpty():
-            return label
-    raise RuntimeError("components not found in time")
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, root) of nodes (id): the smallest id reachable over pairs (a, b), a node's own if it has none."""
+    roots = connected(pairs, shared_dir(nodes.sparkSession))
+    return nodes.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def form(kinds: Column, tokens: Column) -> Column:

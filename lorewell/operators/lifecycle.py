@@ -314,39 +314,43 @@ def issues(units: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     return out.unionByName(each.select("id", F.concat(F.lit("stale source path: "), F.col("path")).alias("reason"), F.lit(True).alias("rejects")))
 
 
-def _live(units: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
-    """id, project, unit_type, labels, body, tokens of units in these states."""
-    live = units.where(F.col("status").isin(*statuses)).select("id", "project", "unit_type", "labels", _body("title", "content").alias("body"))
-    return live.withColumn("tokens", T.claim_tokens(F.col("body")))
+def paired(units: DataFrame) -> DataFrame:
+    """What the searches for pairs need of live units, as a written table that all of them share: id, project, unit_type, status, labels, body, tokens.
+
+    Tokens that no other unit of the project has are left out; the others go
+    from rare to frequent, an order that is the same for all units.
+    """
+    live = units.where(F.col("status").isin(*LIVE)).select("id", "project", "unit_type", "status", "labels", _body("title", "content").alias("body"))
+    top = shared_dir(units.sparkSession)
+    live = written(live.withColumn("all", T.claim_tokens(F.col("body"))), f"{top}/live")
+    each = live.select("id", "project", F.explode("all").alias("token"))
+    df = each.groupBy("project", "token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(df, ["project", "token"]).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda t: t["token"]).alias("tokens"))
+    return written(live.drop("all").join(ranked, "id"), f"{top}/ranked")
 
 
 def _pairs(live: DataFrame, left: Column, right: Column, shared_tokens: int) -> DataFrame:
-    """Pairs (a, b) of one project, a from the left rows of live and b from the right ones, that share a label and so many tokens.
+    """Pairs (a, b) of one project, a from the left rows of paired() and b from the right ones, that share a label and so many tokens.
 
-    Of n tokens in one order from rare to frequent, one of the first
-    n - k + 1 of either set is in the other's if both share k, so only those
-    are joined, and only between rows that the caller's signals leave; full
-    sets decide.
+    Of n tokens in one order, one of the first n - k + 1 of either set is in
+    the other's if both share k, so only those are joined, and only between
+    rows that the caller's signals leave; full sets decide.
     """
-    live = live.withColumn("lw_left", left).withColumn("lw_right", right).where((F.col("lw_left") | F.col("lw_right")) & (F.size("tokens") >= shared_tokens))
-    each = live.select("id", "project", "lw_left", "lw_right", F.explode("tokens").alias("token"))
-    df = each.groupBy("project", "token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(df, ["project", "token"]).groupBy("id", "project", "lw_left", "lw_right").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    heads = ranked.select("id", "project", "lw_left", "lw_right", F.explode(F.slice("t", 1, F.greatest(F.size("t") - (shared_tokens - 1), F.lit(0)))).alias("t")).withColumn("token", F.col("t.token"))
-    a = heads.where("lw_left").select(F.col("id").alias("a"), "project", "token")
-    b = heads.where("lw_right").select(F.col("id").alias("b"), "project", "token")
-    met = a.join(b, ["project", "token"]).where("a <> b").select("a", "b").distinct()
+    few = F.size("tokens") - (shared_tokens - 1)
+    heads = lambda rows, n: live.where(rows & (few > 0)).select(F.col("id").alias(n), "project", F.explode(F.slice("tokens", 1, few)).alias("token"))
+    met = heads(left, "a").join(heads(right, "b"), ["project", "token"]).where("a <> b").select("a", "b").distinct()
     side = lambda n: live.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("unit_type", "labels", "body", "tokens")])
     both = met.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a_labels", "b_labels"))
     return both.where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= shared_tokens)
 
 
-def conflicts(units: DataFrame) -> DataFrame:
+def conflicts(units: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b: live units of one project that share a label and three tokens, contrast, and don't correct each other.
 
-    One of the two says the contrast, so pairs start from those that do.
+    One of the two says the contrast, so pairs start from those that do. live:
+    paired(units), if it is at hand.
     """
-    plain = _live(units, LIVE).where(~plain_any(F.col("body"), STRONG))
+    plain = (paired(units) if live is None else live).where(~plain_any(F.col("body"), STRONG))
     met = _pairs(plain, plain_any(F.col("body"), CONTRAST), F.lit(True), 3)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -356,22 +360,25 @@ def review_pairs(units: DataFrame, similar: DataFrame) -> DataFrame:
 
     The pairs are given, so only their texts are fetched.
     """
-    live = _live(units, LIVE).where(~plain_any(F.col("body"), STRONG) & (F.size("tokens") >= 4))
+    live = units.where(F.col("status").isin(*LIVE)).select("id", "project", "unit_type", "labels", _body("title", "content").alias("body")).withColumn("tokens", T.claim_tokens(F.col("body")))
+    live = live.where(~plain_any(F.col("body"), STRONG) & (F.size("tokens") >= 4))
     side = lambda n: live.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("project", "unit_type", "labels", "tokens")])
     both = similar.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where("a_project <=> b_project AND a_unit_type = b_unit_type")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return both.where(F.arrays_overlap("a_labels", "b_labels") & (shared >= 4) & (T.jaccard(F.col("a_tokens"), F.col("b_tokens")) >= 0.35)).select("a", "b")
 
 
-def supersessions(units: DataFrame, in_conflict: DataFrame | None = None) -> DataFrame:
+def supersessions(units: DataFrame, in_conflict: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
     """(id, superseded_by): units and the newest later one that replaces them.
 
     Either the newer one says so, or it is a decision and the older one a
     maybe; these are two joins, each between the rows that have its signals.
+    live: paired(units), if it is at hand.
     """
+    live = paired(units) if live is None else live
     if in_conflict is not None:
-        units = units.join(in_conflict, "id", "left_anti")
-    live, body = _live(units, ("active_unit", "crystal")), F.col("body")
+        live = live.join(in_conflict, "id", "left_anti")
+    live, body = live.where(F.col("status").isin("active_unit", "crystal")), F.col("body")
     said = plain_any(body, CORRECTED) | (F.contains(body, F.lit("old")) & plain_any(body, ("now", "updated")))
     types = (F.col("a_unit_type") == F.col("b_unit_type")) | ((F.col("a_unit_type") == "plan") & (F.col("b_unit_type") == "decision"))
     one = _pairs(live, F.lit(True), said, 2)
@@ -396,10 +403,11 @@ def consolidation(units: DataFrame, n_sources: DataFrame, as_of: Column, scores:
     units = written(units, f"{top}/units")
     held = written(issues(units).where("rejects").groupBy("id").agg(F.min("reason").alias("held_for")), f"{top}/held")
     good = units.join(held, "id", "left_anti")
-    clash = written(conflicts(good), f"{top}/clash")
+    live = paired(good)
+    clash = written(conflicts(good, live), f"{top}/clash")
     ids = clash.select(F.col("a").alias("id")).unionByName(clash.select(F.col("b").alias("id"))).distinct()
     df = units.join(n_sources.select(F.col("unit_id").alias("id"), "n_sources"), "id", "left")
-    df = df.join(held, "id", "left").join(ids.withColumn("clash", F.lit(True)), "id", "left").join(supersessions(good, ids).withColumnRenamed("superseded_by", "by"), "id", "left")
+    df = df.join(held, "id", "left").join(ids.withColumn("clash", F.lit(True)), "id", "left").join(supersessions(good, ids, live).withColumnRenamed("superseded_by", "by"), "id", "left")
     past = decay(units, as_of).withColumnRenamed("action", "past") if "valid_to" in units.columns else None
     df = df.join(past, "id", "left") if past is not None else df.withColumn("past", F.lit(None).cast("string"))
     df = df.withColumn("policy", crystal_policy(F.coalesce("n_sources", F.lit(0)))).withColumn("likely", crystal_candidate())

@@ -16,9 +16,17 @@ class _Reader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {}
 
-    def _whole(self, path: str) -> int:
+    def _whole(self, path: str, block: int = 1 << 16) -> int:
+        """The place after the last line's end, looked for from the end of the file."""
         with open(path, "rb") as f:
-            return f.read().rfind(b"\n") + 1
+            at = f.seek(0, os.SEEK_END)
+            while at:
+                at = max(0, at - block)
+                f.seek(at)
+                end = f.read(block).rfind(b"\n")
+                if end >= 0:
+                    return at + end + 1
+        return 0
 
     def read(self, start: dict):
         end = {p: self._whole(p) for p in sorted(glob.glob(self.pattern))}
