@@ -38,8 +38,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import bit_filtered, bit_words, documents, mix, numbered, pick, shared_dir, slices, text_bytes, word_hashes, written
-from .components import components
 
 ROUND_BITS = np.uint64(54)
 _A = np.uint64(0xD6E8FEB86659FD93)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from lorewell.llm import near_dedup as D
-from lorewell.llm.components import components
+from lorewell.operators.components import components
 
 from .cases import ROWS, clashing, docs, empty
 
