@@ -47,6 +47,25 @@ def numbered(df: DataFrame, *order: Column, start: int = 0, name: str = "id") ->
     return out.withColumn(name, F.col("lw_m") - F.col("lw_first") + F.col("lw_before") + start + 1).drop("lw_p", "lw_m", "lw_first", "lw_before")
 
 
+def running(df: DataFrame, *order: Column, **sums: str) -> DataFrame:
+    """df with columns of sums over all rows before a row in the order (0.0 for the first): ``running(df, col("x"), before="n")``.
+
+    Like numbered(): ranges of rows are summed by themselves, and a range's
+    start is the sum of the ranges before it (one row per partition).
+    """
+    top = shared_dir(df.sparkSession)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = written(ranged.withColumn("lw_p", F.spark_partition_id()).withColumn("lw_m", F.monotonically_increasing_id()), f"{top}/ranged")
+    whole = own.groupBy("lw_p").agg(*[F.sum(F.col(c).cast("double")).alias(f"lw_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("lw_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.select("lw_p", *[F.coalesce(F.sum(f"lw_{n}").over(earlier), F.lit(0.0)).alias(f"lw_{n}") for n in sums])
+    inner = Window.partitionBy("lw_p").orderBy("lw_m").rowsBetween(Window.unboundedPreceding, -1)
+    out = own.join(F.broadcast(starts), "lw_p")  # one row per partition
+    for n, c in sums.items():
+        out = out.withColumn(n, F.col(f"lw_{n}") + F.coalesce(F.sum(F.col(c).cast("double")).over(inner), F.lit(0.0)))
+    return out.drop("lw_p", "lw_m", *[f"lw_{n}" for n in sums])
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_old_if_null: Sequence[str] = (), keep_old: Sequence[str] = ()) -> DataFrame:
     """The next snapshot: rows of new replace those of old with the same keys, others stay.
 

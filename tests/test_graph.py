@@ -43,6 +43,20 @@ def test_numbers_and_upserts(spark):
     assert {tuple(x) for x in upserted(old, new, ["k"], keep_old_if_null=["t"]).collect()} == {(1, "a", "t1"), (2, "c", "t2"), (3, "d", "t3")}
 
 
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from lorewell.tables import running
+
+    r = random.Random(2)
+    rows = [(k, r.random(), r.randrange(50)) for k in range(400)]
+    got = {x.k: (x.a, x.b) for x in running(spark.createDataFrame(rows, "k int, v double, n int").repartition(7), F.col("v"), a="v", b="n").collect()}
+    a = b = 0.0
+    for k, v, n in sorted(rows, key=lambda x: x[1]):
+        assert abs(got[k][0] - a) < 1e-9 and got[k][1] == b
+        a, b = a + v, b + n
+
+
 def test_prompt_context():
     assert graph.prompt_context([], []) == "本地记忆库中没有找到相关背景信息。"
     assert graph.prompt_context([("a", "p", "b")], ["d1", "d2"], 1).split("\n") == ["【知识拓扑】", "[a] --(p)--> [b]", "", "【上下文溯源】", "- d1"]
