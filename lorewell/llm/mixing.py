@@ -16,9 +16,11 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import numbered as ranked
+from ..tables import running
 from .common import WORD, documents, numbered, pick, shared_dir, written
 
 EPS = 1e-9
@@ -89,19 +91,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     Targets share the total by weight; none exceeds ``most`` times its
     source's size, and the excess goes to the others by weight. The level at
     which the rest stops is found from running sums over the sources in the
-    order in which they reach their limits.
+    order in which they reach their limits; numbers and sums go by ranges of
+    sources, so no task needs all of them.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    s = s.withColumn("rank", F.row_number().over(order) - 1)  # one row per source
+    s = ranked(s, F.col("source").asc_nulls_last(), name="rank").withColumn("rank", (F.col("rank") - 1).cast("int"))
     s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int")))
     s = s.withColumn("cap", F.lit(most) * F.col("source_size"))
-    by = Window.orderBy(F.col("cap") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    rest = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(by), F.lit(0.0))
-    share = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by), F.lit(0.0))
+    s = running(s, F.col("cap") / F.col("weight"), F.col("rank"), caps="cap", shares="weight")
+    whole = s.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))  # one row
+    s = s.crossJoin(F.broadcast(whole))
     # The level if all sources before this one have stopped and no other has; it rises while that is too few and falls after.
-    s = s.withColumn("level", F.max(rest / share).over(everything))
+    top = s.agg(F.max((F.col("all_size") - F.col("caps")) / (F.col("all_weight") - F.col("shares"))).alias("level"))  # one row
+    s = s.crossJoin(F.broadcast(top))
     return s.select("source", "rank", "n", "source_size", F.least(F.col("level") * F.col("weight"), "cap").alias("target"))
 
 
