@@ -682,7 +682,27 @@ def review_pairs(spark, d):
     return L.review_pairs(u, search.similar_pairs(u))
 
 
-@query()
+_FUSED = f"""WITH RECURSIVE nd AS (SELECT count(*) AS n FROM documents), cost AS (SELECT doc_id, {tokens_sql('text')} AS cost FROM documents),
+ev AS (SELECT c_nationkey AS nation, c_custkey, c_name, cost.doc_id, cost.cost FROM (SELECT *, unnest([c_custkey % n, (c_custkey * 7) % n]) AS doc_id FROM customer, nd) x JOIN cost USING (doc_id)),
+tr AS (SELECT nation, row_number() OVER (PARTITION BY nation ORDER BY c_custkey) AS i, {tokens_sql("(c_name || ': located_in nation')")} AS cost, e FROM (SELECT nation, c_custkey, c_name, list({{'d': doc_id, 'c': cost}} ORDER BY doc_id, cost) AS e FROM ev GROUP BY ALL)),
+ck AS (SELECT s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY cost.doc_id, cost.cost) AS i, cost.doc_id, cost.cost FROM (SELECT *, (s_suppkey * 3) % n AS doc_id FROM supplier, nd) x JOIN cost USING (doc_id)),
+one AS (SELECT nation, 0::BIGINT AS i, 2400::BIGINT AS room, []::BIGINT[] AS docs, false AS ok FROM (SELECT DISTINCT nation FROM tr)
+  UNION ALL SELECT nation, i, CASE WHEN second THEN r1 - e[2].c ELSE r1 END, CASE WHEN second THEN list_append(d1, e[2].d) ELSE d1 END, ok FROM (
+    SELECT *, ok AND i <= 3 AND len(e) > 1 AND e[2].c <= r1 AS second FROM (
+      SELECT *, CASE WHEN first THEN r0 - e[1].c ELSE r0 END AS r1, CASE WHEN first THEN list_append(docs, e[1].d) ELSE docs END AS d1 FROM (
+        SELECT *, ok AND i <= 3 AND len(e) > 0 AND e[1].c <= r0 AS first FROM (
+          SELECT o.nation, t.i, t.e, o.docs, t.cost <= o.room AS ok, CASE WHEN t.cost <= o.room THEN o.room - t.cost ELSE o.room END AS r0 FROM one o JOIN tr t ON t.nation = o.nation AND t.i = o.i + 1))))),
+end1 AS (SELECT nation, arg_max(room, i) + 1600 AS room, arg_max(docs, i) AS docs FROM one GROUP BY nation),
+two AS (SELECT nation, 0::BIGINT AS i, room, false AS ok FROM end1
+  UNION ALL SELECT w.nation, c.i, CASE WHEN c.cost <= w.room AND NOT list_contains(f.docs, c.doc_id) THEN w.room - c.cost ELSE w.room END, c.cost <= w.room AND NOT list_contains(f.docs, c.doc_id) FROM two w JOIN ck c ON c.nation = w.nation AND c.i = w.i + 1 JOIN end1 f ON f.nation = w.nation),
+end2 AS (SELECT nation, arg_max(room, i) AS room FROM two GROUP BY nation),
+three AS (SELECT nation, 0::BIGINT AS i, room, false AS ok FROM end2
+  UNION ALL SELECT h.nation, t.i, CASE WHEN t.cost <= h.room AND NOT o.ok THEN h.room - t.cost ELSE h.room END, t.cost <= h.room AND NOT o.ok FROM three h JOIN tr t ON t.nation = h.nation AND t.i = h.i + 1 JOIN one o ON o.nation = h.nation AND o.i = t.i)
+SELECT nation, (SELECT count(*) FROM one x WHERE x.nation = e.nation AND ok)::INTEGER AS n_triples, (SELECT count(*) FROM three x WHERE x.nation = e.nation AND ok)::INTEGER AS n_backfill, (SELECT count(*) FROM two x WHERE x.nation = e.nation AND ok)::INTEGER AS n_chunks,
+  4000 - (SELECT arg_max(room, i) FROM three x WHERE x.nation = e.nation) AS used FROM end1 e WHERE nation IN (SELECT nation FROM ck)"""
+
+
+@query(_FUSED)
 def fused_three_pass(spark, d):
     """Each nation as a question: its customers as triples with two documents as evidence, its suppliers' documents as chunks."""
     n_docs = X.documents(spark, d).count()
