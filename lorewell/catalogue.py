@@ -381,10 +381,7 @@ def entity_nearest_cosine(spark, d):
     v = X.table(spark, d, "embeddings").select("vec_id", F.col("label").alias("type"), "embedding")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "type", "embedding")
     e = v.select(F.col("vec_id").alias("id"), "type", "embedding")
-    joined = q.join(e.select("id", F.col("type").alias("t"), F.col("embedding").alias("w")), (F.col("type") == F.col("t")) & (F.col("query_id") != F.col("id")))
-    s = joined.withColumn("similarity", T.cosine(F.col("embedding"), F.col("w"))).where("similarity > 0.1")
-    best = s.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("neg"))).alias("b"))
-    return best.select("query_id", (-F.col("b.neg")).alias("id"), F.round("b.similarity", 6).alias("similarity"))
+    return graph.nearest(q, e, 0.1, others=True).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -744,10 +741,8 @@ def retry_candidates(spark, d):
 @query("SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS category, count(*) AS n, round(avg(hit), 6) AS hit_rate FROM (SELECT lang, CASE WHEN contains(lower(text), 'the') AND contains(lower(text), 'an') THEN 1.0 ELSE 0.0 END AS hit FROM documents) GROUP BY ROLLUP (lang)")
 def keyword_hit_eval(spark, d):
     """Rate of texts that hold all expected keywords, per category and over all."""
-    keys = F.array(F.lit("the"), F.lit("an"))
-    hit = F.forall(keys, lambda k: F.contains(F.lower("content"), k)).cast("double")
-    rows = X.documents(spark, d).select("project", hit.alias("hit")).rollup("project").agg(F.grouping("project").alias("g"), F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"))
-    return rows.select(F.when(F.col("g") == 1, "all").otherwise(F.col("project")).alias("category"), "n", "hit_rate")
+    answers = X.documents(spark, d).select(F.col("project").alias("category"), F.array(F.lit("the"), F.lit("AN")).alias("expected_keywords"), F.col("content").alias("output"), F.lit(1).alias("tokens"))
+    return evaluate.keyword_hits(answers).select("category", "n", F.round("hit_rate", 6).alias("hit_rate"))
 
 
 @query(f"WITH {_STATE}, l AS (SELECT id, max(seq) AS seq, arg_max(error, seq) AS error FROM log GROUP BY id) SELECT id, seq + 1 AS seq, 'pending' AS status, error FROM state JOIN l USING (id) WHERE status = 'failed' AND retries < 30")

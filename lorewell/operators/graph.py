@@ -20,14 +20,16 @@ def by_alias(names: DataFrame, aliases: DataFrame, name: str = "name") -> DataFr
     return names.join(known, normalize_name(F.col(name)) == F.col("lw_alias"), "left").drop("lw_alias")
 
 
-def nearest(queries: DataFrame, entities: DataFrame, threshold: float = DISAMBIGUATION, same_type: bool = True) -> DataFrame:
+def nearest(queries: DataFrame, entities: DataFrame, threshold: float = DISAMBIGUATION, same_type: bool = True, others: bool = False) -> DataFrame:
     """For each query (query_id, type, embedding) the entity (id, type, embedding) of highest cosine above the threshold, the smallest id if equal.
 
-    Within a type it is an equi-join; the queries are the small side.
+    Within a type it is an equi-join; the queries are the small side. With
+    ``others`` a query's own id is no entity of its.
     """
     e = entities.where("embedding IS NOT NULL").select("id", F.col("type").alias("e_type"), F.col("embedding").alias("e_vec"))
     q = queries.where("embedding IS NOT NULL").select("query_id", "type", "embedding")
     joined = q.join(e, F.col("type") == F.col("e_type")) if same_type else q.join(e, F.size("embedding") == F.size("e_vec"))
+    joined = joined.where("query_id <> id") if others else joined
     scored = joined.withColumn("similarity", cosine(F.col("embedding"), F.col("e_vec"))).where(F.col("similarity") > threshold)
     best = scored.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("neg"))).alias("b"))
     return best.select("query_id", (-F.col("b.neg")).alias("id"), F.col("b.similarity").alias("similarity"))
