@@ -211,6 +211,10 @@ def _involved(need: float):
     return run
 
 
+#: Partners whose sets are compared at a time; links that these make spare later ones.
+CHUNK = 32
+
+
 def _linked(need: float, width: int, percent: int):
     """Links between components in a bucket, by full sets; components that a link has joined need no more."""
 
@@ -230,16 +234,23 @@ def _linked(need: float, width: int, percent: int):
                 up[v], v = up.get(up[v], up[v]), up[v]
             return v
 
-        found = []
+        found, size = [], np.array([len(x) for x in sets])
         for i, partners in _possible(table, need):
-            for j in partners:
-                a, b = top(int(root[i])), top(int(root[j]))
-                small, large = sorted((len(sets[i]), len(sets[j])))
-                if a != b and 100 * small >= percent * large:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (small + large - both):
+            mine = sets[i]
+            for c in range(0, len(partners), CHUNK):
+                own = top(int(root[i]))
+                part = [j for j in partners[c : c + CHUNK].tolist() if top(int(root[j])) != own]
+                if not part:
+                    continue
+                n = size[part]  # all at once: how many of each partner's shingles are mine
+                flat = np.concatenate([sets[j] for j in part])
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+                for k in np.flatnonzero(100 * both >= percent * (len(mine) + n - both)):
+                    a, b = top(int(root[i])), top(int(root[part[k]]))
+                    if a != b:
                         up[max(a, b)] = min(a, b)
-                        found.append((int(rep[i]), int(rep[j])))
+                        found.append((int(rep[i]), int(rep[part[k]])))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
