@@ -41,9 +41,15 @@ def ascii_lower(text: Column) -> Column:
 
 
 def numbered(df: DataFrame, path: str) -> DataFrame:
-    """df as a written table with columns c0, c1, ... and lw_row, a number of each row's own that all later reads agree on."""
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return written(plain.withColumn("lw_row", F.monotonically_increasing_id()), path)
+    """df with columns c0, c1, ... and lw_row, a number of each row's own that all later reads agree on.
+
+    A table that is read from files as it is has its rows in the same order at
+    each read, whatever columns are read, so numbers by partition and place
+    are fixed; anything else is written first.
+    """
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).withColumn("lw_row", F.monotonically_increasing_id())
+    scan = df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation"
+    return plain if scan else written(plain, path)
 
 
 # A filter of bounded size ------------------------------------------------
