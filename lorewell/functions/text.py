@@ -219,9 +219,9 @@ def synthesized_id(role: Column, stamp: Column, text: Column) -> Column:
     return F.left(F.sha2(F.concat_ws("\u0000", role, F.coalesce(stamp, F.lit("None")), F.left(text, F.lit(256))), 256), F.lit(16))
 
 
-def content_hash(unit_type: Column, title: Column, content: Column, context: Column, project: Column) -> Column:
-    """Digest of a memory unit's trimmed, case-folded fields."""
-    clean = [F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")) for c in (unit_type, title, content, context, project)]
+def content_hash(unit_type: Column, title: Column, content: Column, context: Column, project: Column, blank: str = r"\s") -> Column:
+    """Digest of a memory unit's trimmed, case-folded fields; ``blank`` is the pattern of a character that is trimmed."""
+    clean = [F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U)^(?:{blank})+|(?:{blank})+\z", "")) for c in (unit_type, title, content, context, project)]
     return F.sha2(F.concat_ws("\n", *clean), 256)
 
 

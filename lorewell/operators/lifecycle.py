@@ -115,9 +115,9 @@ def units_from(triaged: DataFrame) -> DataFrame:
     )
 
 
-def new_units(units: DataFrame, *order: str) -> DataFrame:
-    """Of units with equal type, title, content, context and project (by hash), the first in order."""
-    h = T.content_hash(*[F.col(c) for c in ("unit_type", "title", "content", "context", "project")])
+def new_units(units: DataFrame, *order: str, blank: str = r"\s") -> DataFrame:
+    """Of units with equal type, title, content, context and project (by hash), the first in order; ``blank`` as in content_hash()."""
+    h = T.content_hash(*[F.col(c) for c in ("unit_type", "title", "content", "context", "project")], blank=blank)
     w = Window.partitionBy("content_hash").orderBy(*order)
     return units.withColumn("content_hash", h).withColumn("lw_n", F.row_number().over(w)).where("lw_n = 1").drop("lw_n")
 
