@@ -72,3 +72,29 @@ def test_distill(spark):
     assets = spark.createDataFrame([("script", "verify-migrations", "scripts/verify-migrations.sh")], "form string, name string, path string")
     (r,) = distill.candidates(u, s, assets).collect()
     assert (r.root, r.n_units, r.evidence, r.recalls, r.recommended_form, list(r.members), r.covered_by) == (1, 2, 2, 4, "script", [1, 2], "scripts/verify-migrations.sh")
+
+
+def test_groups_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+
+    from lorewell.operators import blocks
+
+    monkeypatch.setattr(blocks, "LEAST", 7)
+    rng = random.Random(3)
+    rows = [(i * 3, sorted({f"w{i % 20}-{rng.randint(1, 25)}" for _ in range(rng.randint(2, 9))} | {f"any{rng.randint(1, 9)}"})) for i in range(120)] + [(1000 + i, ["same", "words", f"own{i}"]) for i in range(40)] + [(2000, ["alone"])]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in rows:
+        for j, t in rows:
+            if i < j and len({*s} & {*t}) / min(len(s), len(t)) >= 0.35:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    units = spark.createDataFrame(rows, "id long, tokens array<string>")
+    found = distill.links(units)
+    assert len({find(i) for i in root}) > 5
+    assert {r.id: r.root for r in distill.components(units, found).collect()} == {i: find(i) for i in root}
