@@ -110,3 +110,34 @@ def test_footer():
     assert pack.footer(2, 3, 1234, 2000) == "(returned 2/3 triples, ~1,234/2,000 tokens; raise --budget for more)"
     assert pack.footer(3, 3, 10, 20, (1, 1)) == "(returned 3/3 triples, 1/1 FTS chunks, ~10/20 tokens)"
     assert pack.partition_budget(2000, 0.15, 100) == (300, 1900)
+
+
+def test_similar_pairs_are_the_best_of_all(spark, monkeypatch):
+    """Held to a plain join of words, with small blocks, copies, ties and two projects."""
+    import math
+    import random
+    from collections import Counter
+
+    from lorewell.operators import blocks
+
+    monkeypatch.setattr(blocks, "LEAST", 5)
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(1, 14)))
+    rows = [(i, f"p{i % 2}", f"title {text()}", text() if i % 7 else "the same words", "more") for i in range(80)]
+    words = {r[0]: " ".join(r[2:]).split() for r in rows}
+    asked = {r[0]: Counter(" ".join(r[2:4]).split()) for r in rows}
+    n, a = len(rows), sum(map(len, words.values())) / len(rows)
+    df = Counter(w for ws in words.values() for w in set(ws))
+    idf = {w: x if (x := math.log((n - d + 0.5) / (d + 0.5))) > 0 else 1e-6 for w, d in df.items()}
+    want = set()
+    for i in words:
+        scores = []
+        for j, ws in words.items():
+            if i != j and i % 2 == j % 2 and asked[i].keys() & set(ws):
+                f = Counter(ws)
+                scores.append((-round(sum(t * idf[w] * f[w] * 2.2 / (f[w] + 1.2 * (0.25 + 0.75 * len(ws) / a)) for w, t in asked[i].items() if w in f), 6), j))
+        want |= {(min(i, j), max(i, j)) for _, j in sorted(scores)[:5]}
+    units = spark.createDataFrame(rows, "id long, project string, title string, content string, context string")
+    found = search.similar_pairs(units)
+    assert {tuple(r) for r in found.collect()} == want
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
