@@ -141,3 +141,22 @@ def test_similar_pairs_are_the_best_of_all(spark, monkeypatch):
     found = search.similar_pairs(units)
     assert {tuple(r) for r in found.collect()} == want
     assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    rows = [(1, "b a b c a b"), (2, ""), (3, "a"), (4, None), (5, "Zé zé d " * 30)]
+    docs = spark.createDataFrame(rows, "id long, content string")
+    found = search.postings(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.term, r.id): (r.frequency, list(r.positions), r.length) for r in found.collect()}
+    want = {("a", 1): (2, [1, 4], 6), ("b", 1): (3, [0, 2, 5], 6), ("c", 1): (1, [3], 6), ("a", 3): (1, [0], 1), ("d", 5): (30, list(range(2, 90, 3)), 90), ("ze", 5): (60, [i for i in range(90) if i % 3 < 2], 90)}
+    assert got == want
+
+
+def test_trigrams_are_counted_where_they_overlap(spark):
+    texts = ["一一一一", "一二一二一", "AB一二一", "一二", "", "𠀀一二一\n二一", ".*?一二一"]
+    grams = ["一一一", "一二一"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content string").withColumn("c", search.trigram_counts(F.col("content"), grams))
+    for r in df.collect():
+        windows = [texts[r.id].lower()[k : k + 3] for k in range(len(texts[r.id]) - 2)]
+        assert (r.c.n, list(r.c.tf)) == (len(windows), [windows.count(g) for g in grams])
