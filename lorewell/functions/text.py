@@ -264,11 +264,16 @@ def payload_locator(source_ref: Column, external_id: Column, ordinal: Column | N
     return F.concat(*parts, F.lit("}"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors in double precision; 0 if a norm is 0, null if lengths differ."""
+def norm(v: Column) -> Column:
+    """The Euclidean norm of a vector in double precision."""
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def cosine(a: Column, b: Column, norms: tuple[Column, Column] | None = None) -> Column:
+    """Cosine of two vectors in double precision; 0 if a norm is 0, null if lengths differ. norms: theirs, if they are at hand."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(F.size(a) == F.size(b), F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0))
+    m, n = norms or (norm(a), norm(b))
+    return F.when(F.size(a) == F.size(b), F.when((m > 0) & (n > 0), dot / (m * n)).otherwise(0.0))
 
 
 def provenance_tag(project: Column, path: Column, section: Column, date: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, normalize_name
+from ..functions.text import cosine, norm, normalize_name
 from ..tables import shared_dir, written
 
 #: The graph's defaults.
@@ -26,11 +26,13 @@ def nearest(queries: DataFrame, entities: DataFrame, threshold: float = DISAMBIG
     Within a type it is an equi-join; the queries are the small side. With
     ``others`` a query's own id is no entity of its.
     """
-    e = entities.where("embedding IS NOT NULL").select("id", F.col("type").alias("e_type"), F.col("embedding").alias("e_vec"))
-    q = queries.where("embedding IS NOT NULL").select("query_id", "type", "embedding")
+    own = norm(F.col("embedding")).alias("norm")  # once for each vector, not for each pair
+    e = written(entities.where("embedding IS NOT NULL").select("id", F.col("type").alias("e_type"), F.col("embedding").alias("e_vec"), own.alias("e_norm")), f"{shared_dir(entities.sparkSession)}/entities")
+    q = written(queries.where("embedding IS NOT NULL").select("query_id", "type", "embedding", own), f"{shared_dir(queries.sparkSession)}/queries")
     joined = q.join(e, F.col("type") == F.col("e_type")) if same_type else q.join(e, F.size("embedding") == F.size("e_vec"))
     joined = joined.where("query_id <> id") if others else joined
-    scored = joined.withColumn("similarity", cosine(F.col("embedding"), F.col("e_vec"))).where(F.col("similarity") > threshold)
+    similarity = cosine(F.col("embedding"), F.col("e_vec"), (F.col("norm"), F.col("e_norm")))
+    scored = joined.withColumn("similarity", similarity).where(F.col("similarity") > threshold)
     best = scored.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("neg"))).alias("b"))
     return best.select("query_id", (-F.col("b.neg")).alias("id"), F.col("b.similarity").alias("similarity"))
 

@@ -60,3 +60,11 @@ def test_running_sums(spark):
 def test_prompt_context():
     assert graph.prompt_context([], []) == "本地记忆库中没有找到相关背景信息。"
     assert graph.prompt_context([("a", "p", "b")], ["d1", "d2"], 1).split("\n") == ["【知识拓扑】", "[a] --(p)--> [b]", "", "【上下文溯源】", "- d1"]
+
+
+def test_nearest_takes_norms_once_for_each_vector(spark):
+    q = spark.createDataFrame([(1, 0, [3.0, 4.0]), (2, 0, [0.0, 0.0])], "query_id long, type int, embedding array<double>")
+    e = spark.createDataFrame([(1, 0, [3.0, 4.0]), (7, 0, [6.0, 8.0]), (5, 0, [4.0, 3.0]), (6, 0, [1.0]), (8, 0, None)], "id long, type int, embedding array<double>")
+    found = graph.nearest(q, e, 0.1, others=True)
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 1.0)]
+    assert "SQRT" not in found._jdf.queryExecution().executedPlan().toString().upper()
