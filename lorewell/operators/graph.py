@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, norm, normalize_name
-from ..tables import shared_dir, written
+from ..tables import dealt, shared_dir, written
 
 #: The graph's defaults.
 HOP_DECAY, ALPHA, DISAMBIGUATION = 0.7, 0.6, 0.85
@@ -170,21 +170,25 @@ def score_order(score: Column, hops: Column, date: Column) -> Sequence[Column]:
     return (F.desc(score), F.asc(hops), F.coalesce(F.translate(date, "0123456789", "9876543210"), F.lit("z")).asc())
 
 
-def evidence_of(relations: DataFrame, evidence: DataFrame, docs: DataFrame, project: str | None = None) -> DataFrame:
+def evidence_of(relations: DataFrame, evidence: DataFrame, docs: DataFrame, project: str | None = None, rows: int | None = None) -> DataFrame:
     """(relation_id, doc_id, project, source_path, section, doc_date) of relations (id); with a project only its documents count.
 
     A relation without any matching document has no row, so it drops out of
-    whatever is joined with this.
+    whatever is joined with this. rows: how much evidence there is at most;
+    it is counted where that is None.
     """
+    rows = evidence.count() if rows is None else rows
     d = docs.select(F.col("id").alias("doc_id"), *[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("project", "source_path", "section", "doc_date")])
     if project is not None:
         d = d.where(F.col("project") == project)
-    return evidence.join(relations.select(F.col("id").alias("relation_id")), "relation_id", "left_semi").join(d, "doc_id").select("relation_id", "doc_id", "project", "source_path", "section", "doc_date")
+    known = dealt(relations.select(F.col("id").alias("relation_id")), rows, "relation_id").distinct()
+    of = dealt(evidence, rows, "doc_id").join(d, "doc_id").join(known.hint("merge"), "relation_id")  # numbers pack well: a file that is small enough to be sent about can hold many millions
+    return of.select("relation_id", "doc_id", "project", "source_path", "section", "doc_date")
 
 
-def best_dates(evidence: DataFrame) -> DataFrame:
-    """(relation_id, best_date): the latest date of a relation's documents; dates are text."""
-    return evidence.groupBy("relation_id").agg(F.max("doc_date").alias("best_date"))
+def best_dates(evidence: DataFrame, rows: int | None = None) -> DataFrame:
+    """(relation_id, best_date): the latest date of a relation's documents; dates are text. rows: as for evidence_of."""
+    return dealt(evidence, rows, "relation_id").groupBy("relation_id").agg(F.max("doc_date").alias("best_date"))
 
 
 def scored(relations: DataFrame, depths: DataFrame, evidence: DataFrame, bm25: DataFrame, query_vector: Sequence[float] | None, max_hops: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,12 +66,18 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     key = lambda tag, c: F.concat(F.lit(tag), F.col(c).cast("string"))
     one = lambda df, a, p, b: df.select(a.alias("source"), F.lit(p).alias("predicate"), b.alias("target"))
+    pairs = dealt(t("lineitem").select("l_suppkey", "l_partkey"), None, "l_suppkey", "l_partkey").distinct()
     return (
         one(t("nation"), key("n", "n_nationkey"), "part_of", key("r", "n_regionkey")).unionByName(one(t("customer"), key("c", "c_custkey"), "located_in", key("n", "c_nationkey")))
-        .unionByName(one(t("supplier"), key("s", "s_suppkey"), "located_in", key("n", "s_nationkey"))).unionByName(one(t("lineitem").select("l_suppkey", "l_partkey").distinct(), key("s", "l_suppkey"), "supplies", key("p", "l_partkey")))
+        .unionByName(one(t("supplier"), key("s", "s_suppkey"), "located_in", key("n", "s_nationkey"))).unionByName(one(pairs, key("s", "l_suppkey"), "supplies", key("p", "l_partkey")))
     )
 
 
+def edge_rows(spark: SparkSession, sf_dir: str) -> int:
+    """How many relations there are at most; nothing but the files' ends is read."""
+    return sum(table(spark, sf_dir, n).count() for n in ("nation", "customer", "supplier", "lineitem"))
+
+
 NODES_SQL = """
 SELECT 'r' || r_regionkey AS id, r_name AS canonical_name, 'Region' AS type FROM region UNION ALL
 SELECT 'n' || n_nationkey, n_name, 'Nation' FROM nation UNION ALL

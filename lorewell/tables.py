@@ -9,6 +9,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: So many rows a task sorts or groups where rows are dealt by their number: its memory stays the same, there are more tasks.
+ROWS = 1 << 19
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    """How many tasks so many rows are dealt to: the session's, or more."""
+    return max(-(-rows // ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """df dealt by its keys to tasks of about ROWS rows, so that a join or a group by these keys sorts no more in one task; few rows stay as they are.
+
+    rows: how many there are at most; they are counted where it is None.
+    """
+    rows = df.count() if rows is None else rows
+    return df if rows <= ROWS else df.repartition(tasks(df.sparkSession, rows), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The qualified path of a new folder under spark.checkpoint.dir.
 
@@ -32,14 +50,16 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, *order: Column, start: int = 0, name: str = "id") -> DataFrame:
+def numbered(df: DataFrame, *order: Column, start: int = 0, name: str = "id", rows: int | None = None) -> DataFrame:
     """Ids from start + 1 on in a fixed order, without one task that sorts all rows.
 
     Rows are range-partitioned and sorted; each partition's first number is
-    the sum of the sizes before it (one row per partition).
+    the sum of the sizes before it (one row per partition). Where it is known
+    how many rows there are at most, they go to partitions of about ROWS.
     """
     top = shared_dir(df.sparkSession)
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    by = order if rows is None or rows <= ROWS else (tasks(df.sparkSession, rows), *order)
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*order)
     own = written(ranged.withColumn("lw_p", F.spark_partition_id()).withColumn("lw_m", F.monotonically_increasing_id()), f"{top}/ranged")
     sizes = own.groupBy("lw_p").agg(F.count("*").alias("n"), F.min("lw_m").alias("lw_first"))
     before = sizes.withColumn("lw_before", F.sum("n").over(Window.orderBy("lw_p")) - F.col("n")).drop("n")
