@@ -402,8 +402,9 @@ class Memory:
         edges = rel.select("id", F.col("source_id").alias("source"), F.col("target_id").alias("target"), "predicate", "embedding")
         depths = graph.traverse(edges, seeds, max_hops)
         docs = self.table("documents")
-        evidence = graph.evidence_of(edges, self.table("evidence"), docs.withColumnRenamed("path", "source_path"), project)
-        scored = graph.scored(edges, depths, evidence, search.bm25(docs, search.phrases(question)).select(F.col("id").alias("doc_id"), "score"), embed([question])[0] if embed else None, max_hops)
+        n = self.table("evidence").count()
+        evidence = graph.evidence_of(edges, self.table("evidence"), docs.withColumnRenamed("path", "source_path"), project, n)
+        scored = graph.scored(edges, depths, evidence, search.bm25(docs, search.phrases(question)).select(F.col("id").alias("doc_id"), "score"), embed([question])[0] if embed else None, max_hops, max(rel.count(), n))
         name = lambda c: self.table("entities").select(F.col("id").alias(c), F.col("canonical_name").alias(f"{c}_name"))
         named = scored.join(name("source"), "source").join(name("target"), "target")
         return named.orderBy(*graph.score_order(F.col("score"), F.col("hops"), F.col("best_date")), "id")

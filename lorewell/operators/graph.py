@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, norm, normalize_name
-from ..tables import dealt, shared_dir, written
+from ..tables import dealt, few, shared_dir, written
 
 #: The graph's defaults.
 HOP_DECAY, ALPHA, DISAMBIGUATION = 0.7, 0.6, 0.85
@@ -90,15 +90,26 @@ def neighbours(edges: DataFrame, frontier: DataFrame, superseded: bool = False)
     return e.join(f, e["source"] == f["id"], "left_semi").unionByName(e.join(f, e["target"] == f["id"], "left_semi")).distinct()
 
 
-def traverse(edges: DataFrame, seeds: DataFrame, max_hops: int, superseded: bool = False) -> DataFrame:
-    """(id, depth) of every entity within max_hops edges of the seeds (id), by levels; each level is written once."""
+def traverse(edges: DataFrame, seeds: DataFrame, max_hops: int, superseded: bool = False, rows: int | None = None) -> DataFrame:
+    """(id, depth) of every entity within max_hops edges of the seeds (id), by levels; each level is written once.
+
+    A level of many entities is joined with edges that are dealt by their
+    number. rows: how many edges there are at most; they are counted where it
+    is None and such a level is met.
+    """
     spark = edges.sparkSession
     e = edges if superseded or "superseded_by" not in edges.columns else edges.where("superseded_by IS NULL")
     both = e.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(e.select(F.col("target").alias("a"), F.col("source").alias("b")))
     top = shared_dir(spark)
-    seen = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), f"{top}/0")
+    seen = level = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), f"{top}/0")
     for hop in range(1, max_hops + 1):
-        edge_ends = both.join(seen.where(F.col("depth") == hop - 1), F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
+        last = level.select("id")
+        if few(level):
+            last = F.broadcast(last)
+        else:
+            rows = e.count() if rows is None else rows
+            last = dealt(last, 2 * rows, "id").hint("merge")  # the edges are dealt as the level is
+        edge_ends = both.join(last, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
         new = edge_ends.join(seen, "id", "left_anti").withColumn("depth", F.lit(hop))
         level = written(new, f"{top}/{hop}")
         seen = seen.unionByName(level)
@@ -107,11 +118,16 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_hops: int, superseded: bool
     return seen
 
 
-def triples_within(edges: DataFrame, depths: DataFrame, max_hops: int) -> DataFrame:
-    """Edges met by a traversal of max_hops, with hops: the smaller depth of their ends."""
-    a, b = depths.select(F.col("id").alias("source"), F.col("depth").alias("d1")), depths.select(F.col("id").alias("target"), F.col("depth").alias("d2"))
-    near = edges.join(a, "source", "left").join(b, "target", "left").withColumn("hops", F.least("d1", "d2")).where(F.col("hops") < max_hops)
-    return near.drop("d1", "d2")
+def triples_within(edges: DataFrame, depths: DataFrame, max_hops: int, rows: int | None = None) -> DataFrame:
+    """Edges met by a traversal of max_hops, with hops: the smaller depth of their ends. rows: how many edges there are at most; they are counted where that is None."""
+    inner = depths.where(F.col("depth") < max_hops)  # an edge is met from these only
+    a, b = inner.select(F.col("id").alias("source"), F.col("depth").alias("d1")), inner.select(F.col("id").alias("target"), F.col("depth").alias("d2"))
+    if few(inner):
+        near = edges.join(F.broadcast(a), "source", "left").join(F.broadcast(b), "target", "left")
+    else:
+        rows = edges.count() if rows is None else rows
+        near = dealt(dealt(edges, rows, "source").join(a.hint("merge"), "source", "left"), rows, "target").join(b.hint("merge"), "target", "left")
+    return near.withColumn("hops", F.least("d1", "d2")).where(F.col("hops") < max_hops).drop("d1", "d2")
 
 
 def superseded_by(facts: DataFrame) -> DataFrame:
@@ -191,17 +207,22 @@ def best_dates(evidence: DataFrame, rows: int | None = None) -> DataFrame:
     return dealt(evidence, rows, "relation_id").groupBy("relation_id").agg(F.max("doc_date").alias("best_date"))
 
 
-def scored(relations: DataFrame, depths: DataFrame, evidence: DataFrame, bm25: DataFrame, query_vector: Sequence[float] | None, max_hops: int) -> DataFrame:
+def scored(relations: DataFrame, depths: DataFrame, evidence: DataFrame, bm25: DataFrame, query_vector: Sequence[float] | None, max_hops: int, rows: int | None = None) -> DataFrame:
     """Relations (id, source, target, predicate, embedding) met by a traversal, with hops, similarity, bm25, best_date and score.
 
     evidence: as from evidence_of; relations without any are left out. bm25:
     (doc_id, score). A relation's best score is scaled over all that are met.
     Without a query vector only BM25 counts; vectors that are missing or of
-    another length have no similarity.
+    another length have no similarity. rows: how many relations and how much
+    evidence there are at most; the evidence is counted where that is None.
     """
-    near = triples_within(relations, depths, max_hops)
-    best = evidence.join(bm25, "doc_id", "left").groupBy("relation_id").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("b"), F.max("doc_date").alias("best_date"))
-    near = near.join(best, F.col("id") == F.col("relation_id")).drop("relation_id")
+    top = shared_dir(relations.sparkSession)
+    near = written(triples_within(relations, depths, max_hops, rows), f"{top}/near")
+    rows = evidence.count() if rows is None else rows
+    own = evidence.join(dealt(near.select(F.col("id").alias("relation_id")), rows, "relation_id").hint("merge"), "relation_id", "left_semi")
+    both = dealt(dealt(own, rows, "doc_id").join(bm25, "doc_id", "left"), rows, "relation_id")
+    best = both.groupBy("relation_id").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("b"), F.max("doc_date").alias("best_date"))
+    near = written(near.join(best.hint("merge"), F.col("id") == F.col("relation_id")).drop("relation_id"), f"{top}/met")
     ends = near.agg(F.min("b").alias("lo"), F.max("b").alias("hi"))  # one row
     near = near.crossJoin(F.broadcast(ends)).withColumn("bm25", F.when(F.col("hi") > F.col("lo"), (F.col("b") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
     if query_vector is None:

@@ -27,6 +27,11 @@ def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
     return df if rows <= ROWS else df.repartition(tasks(df.sparkSession, rows), *keys)
 
 
+def few(df: DataFrame) -> bool:
+    """Whether df has at most as many rows as one task takes, so that each task of a join can have all of them."""
+    return df.count() <= ROWS
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The qualified path of a new folder under spark.checkpoint.dir.
 
