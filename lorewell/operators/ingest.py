@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import numbered, shared_dir, written
+from ..tables import dealt, numbered, shared_dir, written
 from . import chunk
 
 GRAPH = (
@@ -68,11 +68,14 @@ def graph_tables(graphs: DataFrame) -> dict[str, DataFrame]:
     return {"entities": entities, "relations": rel, "units": units}
 
 
-def relations_upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Distinct (source, target, predicate) of both, an old embedding kept, a missing one filled in; evidence is appended apart."""
+def relations_upserted(old: DataFrame, new: DataFrame, rows: int | None = None) -> DataFrame:
+    """Distinct (source, target, predicate) of both, an old embedding kept, a missing one filled in; evidence is appended apart.
+
+    rows: how many there are at most in both; they are counted where that is None.
+    """
     keys = ["source", "target", "predicate"]
     both = old.select(*keys, "embedding", F.lit(0).alias("age")).unionByName(new.select(*keys, "embedding", F.lit(1).alias("age")))
-    return both.groupBy(*keys).agg(F.min_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("age"))).alias("embedding"))
+    return dealt(both, rows, *keys).groupBy(*keys).agg(F.min_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("age"))).alias("embedding"))
 
 
 def longer_descriptions(old: DataFrame, new: DataFrame) -> DataFrame:
